@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, near_dedup, secret_scan, substring_dedup
+from tidemark.llm import bpe, langid, near_dedup, quality, secret_scan, substring_dedup, toxicity
 from tidemark.llm.cluster import read
 
 
@@ -17,6 +17,12 @@ def rank_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.grade(docs, model).select("doc_id", "expected_grade", "tail_probability", "quality_kept")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(read(spark, sf_dir, "documents", "doc_id", "text"), rank_path())
 
@@ -33,6 +39,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), digests=True)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
