@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, langid, near_dedup, quality, secret_scan, substring_dedup, toxicity
+from tidemark.llm import ann, bpe, langid, near_dedup, quality, secret_scan, substring_dedup, toxicity
 from tidemark.llm.cluster import read
 
 
@@ -43,6 +43,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
 
