@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, langid, near_dedup, quality, secret_scan, substring_dedup, toxicity
+from tidemark.llm import ann, bpe, decontaminate, langid, license_scan, near_dedup, quality, secret_scan, substring_dedup, toxicity
 from tidemark.llm.cluster import read
 
 
@@ -23,6 +23,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, model).select("doc_id", "expected_grade", "tail_probability", "quality_kept")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(read(spark, sf_dir, "documents", "doc_id", "text"), rank_path())
 
@@ -39,6 +43,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), digests=True)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
