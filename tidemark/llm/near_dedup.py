@@ -3,9 +3,11 @@
 Two collections of M small groups of T minhashes each are computed; a table key combines one group of
 either collection, so M x M tables of 2T rows cost 2MT minhashes instead of 2T x M x M. Equal shingle
 sets are collapsed to one class first. Within a bucket no pairs are listed: members are compared with
-a pivot (star edges), verified on full shingle sets, and merged; only buckets whose members still lie in
-different components go on, with other pivots, until the pairs left between components are few enough
-to be listed. So every pair that shares a table is compared or already joined.
+its pivot (star edges), verified on full shingle sets, and merged. Classes whose buckets are still split
+into several components then go through an exact prefix filter: the rarest shingles of their sets are
+the new buckets, again first as stars, then pair by pair between components that are still apart, where
+sizes, places and parity bits leave the pair possible. So
+every pair that shares a table is compared, already joined, or ruled out exactly.
 
 Defined results: words are split at ASCII white space after lower-casing A-Z; a null, empty or
 white-space text has an empty set and is linked with nothing; fewer than five words make one shingle;
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +30,7 @@ from tidemark.llm.components import components
 
 M, ROWS = 8, 3
 PERCENT = 85
-LISTED_PAIRS_PER_MEMBER = 8
+BITS = 1024
 _A = [f"a{i}" for i in range(M)]
 _B = [f"b{i}" for i in range(M)]
 _seeds = np.random.default_rng(7919).integers(1, 1 << 63, (2 * M * ROWS, 2), dtype=np.int64).astype(np.uint64)
@@ -70,15 +72,27 @@ def _sign(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, schema)
 
 
+def _parities(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set BITS bits: the parity of the number of shingles that hash to each."""
+    n = len(bounds) - 1
+    slot = np.repeat(np.arange(n), np.diff(bounds)) * BITS + (ta.mix(values) % np.uint64(BITS)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=n * BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _sets(df: DataFrame, text_col: str, k: int) -> DataFrame:
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    """(id, shingles, bits): the full set, and its parities as longs."""
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", longs), T.StructField("bits", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in ta.pieces(batch, text_col):
                 values, bounds = shingle_sets(piece.column(text_col), k)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([piece.column("id"), lists], names=schema.names)
+                ends = np.arange(len(bounds)) * (BITS // 64)
+                bits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_parities(values, bounds)))
+                yield pa.RecordBatch.from_arrays([piece.column("id"), lists, bits], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -95,6 +109,50 @@ def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return edges.join(left, "u").join(right, "v").where(_similar(percent)).select("u", "v")
 
 
+def _fits(percent: int) -> Column:
+    """Sizes n and m do not rule out the similarity."""
+    return F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+
+
+def _stars(met: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) between pivots and the classes that meet them, where the sizes allow a link."""
+    size = met.where("rep = pivot").select("pivot", F.col("n").alias("m")).distinct()
+    own = met.where("rep <> pivot").join(size, "pivot", "left")
+    return own.where(F.col("m").isNull() | _fits(percent)).select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
+
+
+def _place(rows: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
+    """rows with the component of `node`, itself where it has no link."""
+    known = comp.select(F.col("node").alias(node), F.col("component").alias("found"))
+    return rows.join(known, node, "left").withColumn(name, F.coalesce("found", node)).drop("found")
+
+
+def _prefix_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, n): the shingles in each set's prefix, rarest first among these sets.
+
+    Two sets of the wanted similarity share a shingle within their first n - ceil(percent * n / 100) + 1
+    in any common order. With rare ones first, passages that many texts share stay out of the prefix.
+    """
+    each = sets.select(F.col("id").alias("rep"), F.size("shingles").alias("n"), "bits", F.explode("shingles").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(often, "key")
+    by = Window.partitionBy("rep")
+    ranked = shared.withColumn("alone", F.col("n") - F.count("*").over(by)).withColumn("place", F.row_number().over(by.orderBy("df", "key")))
+    at = F.col("alone") + F.col("place")
+    return ranked.withColumn("at", at).where(at <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "rep", "n", "at", "bits")
+
+
+def _may_link(percent: int) -> Column:
+    """Exact bounds for two sets (n, at, bits) and (m, mat, mbits) that share the key at these places.
+
+    Sizes; the places, if this is their first common shingle; and the parities, which differ in at most
+    as many bits as the sets have shingles of their own.
+    """
+    places = (1 + F.least(F.col("n") - F.col("at"), F.col("m") - F.col("mat"))) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("mbits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    return _fits(percent) & places & (differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = 5) -> DataFrame:
     """(id_col, n_shingles long, component_id long, kept boolean), one row per row of df.
 
@@ -110,40 +168,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tables = F.array(*(F.xxhash64(F.lit(i * M + j), F.col(a), F.col(b)) for i, a in enumerate(_A) for j, b in enumerate(_B)))
     keys = classes.select("rep", F.col("n").cast("int").alias("n"), F.explode(tables).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1")
-    buckets = scratch.save(keys.join(shared, "key").select("key", "rep", "n", "pivot"), "buckets")
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-
-    members = buckets.select("rep").distinct()
-    reps = df.select(F.col(id_col).cast("long").alias("id"), text_col).join(members, F.col("id") == F.col("rep"), "left_semi")
-    sets = scratch.save(_sets(reps, text_col, k), "sets")
-    size = buckets.select(F.col("rep").alias("pivot"), F.col("n").alias("m")).distinct()
-
-    star = buckets.where("rep <> pivot").select("rep", "n", "pivot").distinct().join(size, "pivot").where(fits)
-    links = scratch.save(_verified(star.select(F.col("pivot").alias("u"), F.col("rep").alias("v")), sets, percent), "links-0")
-    turn = 0
-    while True:
-        turn += 1
-        comp = scratch.save(components(links, scratch, f"cc-{turn}"), f"comp-{turn}")
-        placed = buckets.drop("pivot").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        still = scratch.save(placed.join(open_keys, "key"), f"open-{turn}")
-        per_part = still.groupBy("key", "component").agg(F.count("*").alias("c"))
-        left = per_part.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs")).first()
-        if not left["n"]:
-            break
-        few = left["pairs"] <= LISTED_PAIRS_PER_MEMBER * left["n"]
-        if few:
-            other = still.select("key", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("part"))
-            pairs = still.join(other, "key").where("rep > pivot")
-        else:
-            pick = still.groupBy("key").agg(F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("p"))
-            pairs = still.join(pick.select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("m"), F.col("p.component").alias("part")), "key")
-        wanted = pairs.where(F.col("component") != F.col("part")).where(fits).select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct()
-        more = scratch.save(links.unionByName(_verified(wanted, sets, percent)), f"links-{turn}")
-        links = more
-        if few:
-            comp = scratch.save(components(links, scratch, f"cc-{turn}-last"), f"comp-{turn}-last")
-            break
+    # Which pivots a class meets in its buckets; the buckets themselves are not kept.
+    met = scratch.save(keys.join(shared, "key").select("rep", "n", "pivot").distinct(), "met")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), text_col)
+    sets = scratch.save(_sets(texts.join(met.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi"), text_col, k), "sets")
+    links = scratch.save(_verified(_stars(met, percent), sets, percent), "links-0")
+    comp = scratch.save(components(links, scratch, "cc-0"), "comp-0")
+
+    # Classes in buckets that are still split go on with an exact prefix filter.
+    placed = _place(_place(met, comp, "rep", "c"), comp, "pivot", "d")
+    split = placed.where("c <> d").select("pivot").distinct()
+    open_ = met.join(split, "pivot", "left_semi").select("rep").distinct()
+    groups = scratch.save(_prefix_groups(sets.join(open_, F.col("id") == F.col("rep"), "left_semi"), percent), "groups")
+    least = groups.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("key", "pivot")
+    starred = groups.join(least, "key").select("rep", "n", "pivot").distinct()
+    apart = _place(_place(starred, comp, "rep", "c"), comp, "pivot", "d").where("c <> d").select("rep", "n", "pivot")
+    links = scratch.save(links.unionByName(_verified(_stars(apart, percent), sets, percent)), "links-1")
+    comp = scratch.save(components(links, scratch, "cc-1"), "comp-1")
+    left = _place(groups, comp, "rep", "c")
+    right = left.select("key", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("at").alias("mat"), F.col("bits").alias("mbits"), F.col("c").alias("d"))
+    pairs = left.join(right, "key").where((F.col("rep") > F.col("pivot")) & (F.col("c") != F.col("d")) & _may_link(percent)).select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
+    links = scratch.save(links.unionByName(_verified(pairs, sets, percent)), "links-2")
+    comp = scratch.save(components(links, scratch, "cc-2"), "comp-2")
 
     # A class's component is named by its least document; only classes with copies or links need the join back.
     named = classes.select("s1", "s2", "rep", "copies").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
