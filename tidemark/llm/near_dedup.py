@@ -128,18 +128,18 @@ def _place(rows: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
 
 
 def _prefix_groups(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, rep, n): the shingles in each set's prefix, rarest first among these sets.
+    """(key, rep, n, at): the shingles in each set's prefix, rarest first among these sets.
 
     Two sets of the wanted similarity share a shingle within their first n - ceil(percent * n / 100) + 1
     in any common order. With rare ones first, passages that many texts share stay out of the prefix.
     """
-    each = sets.select(F.col("id").alias("rep"), F.size("shingles").alias("n"), "bits", F.explode("shingles").alias("key"))
+    each = sets.select(F.col("id").alias("rep"), F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     often = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(often, "key")
     by = Window.partitionBy("rep")
     ranked = shared.withColumn("alone", F.col("n") - F.count("*").over(by)).withColumn("place", F.row_number().over(by.orderBy("df", "key")))
     at = F.col("alone") + F.col("place")
-    return ranked.withColumn("at", at).where(at <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "rep", "n", "at", "bits")
+    return ranked.withColumn("at", at).where(at <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "rep", "n", "at")
 
 
 def _may_link(percent: int) -> Column:
@@ -186,6 +186,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = scratch.save(links.unionByName(_verified(_stars(apart, percent), sets, percent)), "links-1")
     comp = scratch.save(components(links, scratch, "cc-1"), "comp-1")
     left = _place(groups, comp, "rep", "c")
+    apart = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    left = scratch.save(left.join(apart, "key", "left_semi").join(sets.select(F.col("id").alias("rep"), "bits"), "rep"), "apart")
     right = left.select("key", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("at").alias("mat"), F.col("bits").alias("mbits"), F.col("c").alias("d"))
     pairs = left.join(right, "key").where((F.col("rep") > F.col("pivot")) & (F.col("c") != F.col("d")) & _may_link(percent)).select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
     links = scratch.save(links.unionByName(_verified(pairs, sets, percent)), "links-2")
