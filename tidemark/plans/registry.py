@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import marts
+from tidemark.plans import decision, marts
 
-MODULES = [marts]
+MODULES = [marts, decision]
 
 
 def queries() -> dict:
