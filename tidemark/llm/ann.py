@@ -31,6 +31,7 @@ SAMPLE = 16384
 MAX_CELLS = 1024
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
+SLICE, CHUNK = 64, 1 << 15
 SURE = 3.0  # standard deviations in the error bound
 
 
@@ -86,8 +87,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+
+
 def search_block(index: Index, cell: int, codes: np.ndarray, length: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, cosine) of the best `keep` candidates of one cell's block for each query."""
+    """(query, id, cosine) of the best `keep` candidates of one cell's block for each query.
+
+    Queries go in slices and exact cosines in chunks, so memory does not follow the size of the groups.
+    """
+    if len(query_ids) > SLICE:
+        parts = [search_block(index, cell, codes, length, own, ids, vectors, query_ids[a : a + SLICE], queries[a : a + SLICE], keep) for a in range(0, len(query_ids), SLICE)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     dims = vectors.shape[1]
     bits = np.unpackbits(codes, axis=1, count=dims).astype(np.float32) * 2 - 1
     diff = unit(queries) - index.centroids[cell]
@@ -102,8 +113,7 @@ def search_block(index: Index, cell: int, codes: np.ndarray, length: np.ndarray,
     k = min(keep, len(ids))
     reach = np.partition(upper, k - 1, axis=1)[:, k - 1 : k]
     q, c = np.nonzero(base - slack <= reach + 1e-9)
-    x, y = vectors[c], queries[q]
-    exact = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+    exact = np.concatenate([_cosines(vectors[c[a : a + CHUNK]], queries[q[a : a + CHUNK]]) for a in range(0, len(q), CHUNK)])
     order = np.lexsort((ids[c], -exact, q))
     q, c, exact = q[order], c[order], exact[order]
     place = np.arange(len(q)) - np.searchsorted(q, q)
