@@ -124,8 +124,9 @@ def normalize_title(title: ColumnOrName, brand: ColumnOrName, word_boundary: boo
     text = F.regexp_replace(F.lower(_c(title)), "[^a-z0-9()é' ]", " ")
     for name, aliases in vocab.BRANDS.items():
         for a in aliases:
-            cut = F.replace(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(f" {a} "), F.lit(" ")) if word_boundary else F.replace(text, F.lit(a), F.lit(" "))
-            text = F.when(_c(brand).isNull() | (_c(brand) == name), cut).otherwise(text)
+            # The alias stands in the plan once a step; where it does not apply a character that no text holds is searched.
+            wanted = F.when(_c(brand).isNull() | (_c(brand) == name), F.lit(f" {a} " if word_boundary else a)).otherwise(F.lit("\u0001"))
+            text = F.replace(F.concat(F.lit(" "), text, F.lit(" ")) if word_boundary else text, wanted, F.lit(" "))
     tokens = F.filter(F.split(F.trim(text), r"\s+"), lambda t: (t != "") & ~t.isin(*vocab.NOISE) & ~t.rlike(r"^\d{1,2}(?:\.\d)?$"))
     return F.array_join(tokens, " ")
 

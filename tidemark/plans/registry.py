@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import decision, marts
+from tidemark.plans import decision, marts, text
 
-MODULES = [marts, decision]
+MODULES = [marts, decision, text]
 
 
 def queries() -> dict:
