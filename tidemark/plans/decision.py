@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import rounded
 from tidemark.operators import features as feat
 from tidemark.operators import labels as lab
-from tidemark.operators import metrics, pricing
+from tidemark.operators import metrics, ml, pricing
 from tidemark.plans.oracle import CTE, r, with_
 from tidemark.sources import testdata as src
 
@@ -70,7 +70,15 @@ def _per_cutoff(s, d):
     return pricing.per_cutoff(pricing.trades(p, src.sales(s, d)), pricing.usable_cutoffs(p, src.sales(s, d)).select("cutoff").distinct(), src.values(s, POLICIES, "policy"))
 
 
+def _gbt(s, d):
+    """Scores of a boosted-tree model on the moments from 1999 on; trained on those before."""
+    rows = _features(s, d).persist()
+    model = ml.train(rows.where("prediction_moment < '1999-01-01'"))
+    return ml.scores(model, rows.where("prediction_moment >= '1999-01-01'"))
+
+
 QUERIES = {
+    "gbt_scores": _gbt,
     "prediction_moments": lambda s, d: lab.moments(src.sales(s, d)),
     "family_windows": lambda s, d: _rounded(lab.windows(src.sales(s, d), src.attention(s, d))),
     "labels": _labels,

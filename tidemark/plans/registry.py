@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import decision, marts, text
+from tidemark.plans import decision, marts, resolution, text
 
-MODULES = [marts, decision, text]
+MODULES = [marts, decision, text, resolution]
 
 
 def queries() -> dict:
