@@ -110,6 +110,8 @@ class Part:
             acc = np.zeros(len(place), np.uint64)
             for j in range(k):
                 acc = acc * ta._CHAIN + word[place + j]
+            for _ in range(k, K):  # as ta.shingles() does for a text under five words
+                acc = acc * ta._CHAIN
             shingle = ta.mix(acc + np.uint64(k))
             row = self.known.lookup(shingle)
             hits = np.flatnonzero(row >= 0)
