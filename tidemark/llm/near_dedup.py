@@ -102,11 +102,24 @@ def _similar(percent: int) -> Column:
     return inter * 100 >= (F.size("x") + F.size("y") - inter) * percent
 
 
+def _parities_allow(percent: int) -> Column:
+    """Sets of n and m shingles differ in at least as many shingles as parity bits (bits, mbits)."""
+    differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("mbits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    return differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+
+
 def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges (u, v) whose full sets are similar enough."""
+    """The edges (u, v) whose full sets are similar enough.
+
+    Sizes and parity bits rule out most false candidates exactly; only the rest carry full sets through
+    a shuffle.
+    """
+    small = sets.select("id", F.size("shingles").alias("n"), "bits")
+    hers = small.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("bits").alias("mbits"))
+    close = edges.join(small.withColumnRenamed("id", "u"), "u").join(hers, "v").where(_fits(percent) & _parities_allow(percent)).select("u", "v")
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("y"))
-    return edges.join(left, "u").join(right, "v").where(_similar(percent)).select("u", "v")
+    return close.join(left, "u").join(right, "v").where(_similar(percent)).select("u", "v")
 
 
 def _fits(percent: int) -> Column:
@@ -149,8 +162,7 @@ def _may_link(percent: int) -> Column:
     as many bits as the sets have shingles of their own.
     """
     places = (1 + F.least(F.col("n") - F.col("at"), F.col("m") - F.col("mat"))) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-    differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("mbits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-    return _fits(percent) & places & (differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+    return _fits(percent) & places & _parities_allow(percent)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = 5) -> DataFrame:
