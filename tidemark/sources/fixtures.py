@@ -42,9 +42,6 @@ def live_mode(*needed: str) -> bool:
     return os.environ.get("INGEST_LIVE") == "1" and all(os.environ.get(n) for n in needed)
 
 
-_NONE = F.lit(None).cast("string")
-
-
 def _c(name: str) -> Column:
     return F.col(name)
 
@@ -54,23 +51,23 @@ def _present(x: Column) -> Column:
 
 
 def _columns(source: str) -> dict[str, Column]:
-    number = lambda x: F.coalesce(x.cast("double"), F.lit(None).cast("double"))
-    nothing = F.lit(None).cast("double")
+    number = lambda x: x.cast("double")
+    nothing, none = F.lit(None).cast("double"), F.lit(None).cast("string")
     browse = _c("source") == "browse"
     if source == "grailed":
         return dict(title=_c("title"), brand=_c("designer.name"), price=number(_c("price")), currency=F.coalesce(null_if_empty(_c("currency")), F.lit("USD")), size=_c("size"), condition=_c("condition"), listing_url=F.concat(F.lit(URLS[source]), _c("id").cast("string")), listed_date=_c("created_at"), sold_date=_c("sold_at"), sold_price=number(_c("sold_price")), image_urls=_present(_c("cover_photo.url")), seller=_c("user.username"), collection_tag=_c("season"))
     if source == "ebay":
         sold_day = null_if_empty(F.trim(F.regexp_replace(_c("sold_date"), "^Sold", "")))
-        return dict(title=_c("title"), brand=_c("brand"), price=F.when(browse, parse_money("price.value")), currency=F.when(browse, _c("price.currency")).otherwise(F.coalesce(null_if_empty(_c("currency")), F.lit("USD"))), size=_c("size"), condition=_c("condition"), listing_url=F.when(browse, _c("itemWebUrl")).otherwise(_c("listing_url")), listed_date=F.when(browse, _c("itemCreationDate")), sold_date=F.when(~browse, sold_day), sold_price=F.when(~browse, parse_money("sold_price")), image_urls=_present(_c("image.imageUrl")), seller=_c("seller.username"), collection_tag=_NONE)
+        return dict(title=_c("title"), brand=_c("brand"), price=F.when(browse, parse_money("price.value")), currency=F.when(browse, _c("price.currency")).otherwise(F.coalesce(null_if_empty(_c("currency")), F.lit("USD"))), size=_c("size"), condition=_c("condition"), listing_url=F.when(browse, _c("itemWebUrl")).otherwise(_c("listing_url")), listed_date=F.when(browse, _c("itemCreationDate")), sold_date=F.when(~browse, sold_day), sold_price=F.when(~browse, parse_money("sold_price")), image_urls=_present(_c("image.imageUrl")), seller=_c("seller.username"), collection_tag=none)
     if source == "depop":
-        return dict(title=F.coalesce(null_if_empty(_c("title")), _c("description")), brand=_c("brand_name"), price=parse_money("price.total_price"), currency=_c("price.currency_name"), size=F.get("sizes", F.lit(0))["name"], condition=_c("condition"), listing_url=F.concat(F.lit(URLS[source]), null_if_empty(_c("slug")), F.lit("/")), listed_date=_c("date_updated"), sold_date=_NONE, sold_price=nothing, image_urls=_present(_c("preview.`640`")), seller=_c("seller_username"), collection_tag=_NONE)
+        return dict(title=F.coalesce(null_if_empty(_c("title")), _c("description")), brand=_c("brand_name"), price=parse_money("price.total_price"), currency=_c("price.currency_name"), size=F.get("sizes", F.lit(0))["name"], condition=_c("condition"), listing_url=F.concat(F.lit(URLS[source]), null_if_empty(_c("slug")), F.lit("/")), listed_date=_c("date_updated"), sold_date=none, sold_price=nothing, image_urls=_present(_c("preview.`640`")), seller=_c("seller_username"), collection_tag=none)
     if source == "vestiaire":
-        return dict(title=_c("name"), brand=_c("brand.name"), price=F.coalesce(_c("price.cents") / 100, parse_money("price.amount")), currency=_c("price.currency"), size=_c("size.label"), condition=_c("condition.label"), listing_url=F.concat(F.lit(URLS[source]), null_if_empty(_c("link"))), listed_date=_c("created_at"), sold_date=_NONE, sold_price=nothing, image_urls=F.coalesce(_c("pictures"), F.array().cast("array<string>")), seller=_c("seller.nickname"), collection_tag=_NONE)
+        return dict(title=_c("name"), brand=_c("brand.name"), price=F.coalesce(_c("price.cents") / 100, parse_money("price.amount")), currency=_c("price.currency"), size=_c("size.label"), condition=_c("condition.label"), listing_url=F.concat(F.lit(URLS[source]), null_if_empty(_c("link"))), listed_date=_c("created_at"), sold_date=none, sold_price=nothing, image_urls=F.coalesce(_c("pictures"), F.array().cast("array<string>")), seller=_c("seller.nickname"), collection_tag=none)
     if source == "therealreal":
         url = F.when(_c("url").startswith("http"), _c("url")).otherwise(F.concat(F.lit(URLS[source]), null_if_empty(_c("url"))))
-        return dict(title=_c("name"), brand=_c("designer"), price=parse_money("price"), currency=F.coalesce(null_if_empty(_c("currency")), F.lit("USD")), size=_c("size"), condition=_c("condition"), listing_url=url, listed_date=_c("first_listed"), sold_date=_c("sold_date"), sold_price=parse_money("sold_price"), image_urls=_present(_c("image")), seller=_NONE, collection_tag=_NONE)
+        return dict(title=_c("name"), brand=_c("designer"), price=parse_money("price"), currency=F.coalesce(null_if_empty(_c("currency")), F.lit("USD")), size=_c("size"), condition=_c("condition"), listing_url=url, listed_date=_c("first_listed"), sold_date=_c("sold_date"), sold_price=parse_money("sold_price"), image_urls=_present(_c("image")), seller=none, collection_tag=none)
     if source == "secondstreet":
-        return dict(title=_c("title"), brand=_c("brand"), price=parse_money("price"), currency=_c("currency"), size=_c("size"), condition=_c("condition"), listing_url=_c("url"), listed_date=_c("listed_date"), sold_date=_NONE, sold_price=nothing, image_urls=F.coalesce(_c("image_urls"), F.array().cast("array<string>")), seller=_NONE, collection_tag=_NONE)
+        return dict(title=_c("title"), brand=_c("brand"), price=parse_money("price"), currency=_c("currency"), size=_c("size"), condition=_c("condition"), listing_url=_c("url"), listed_date=_c("listed_date"), sold_date=none, sold_price=nothing, image_urls=F.coalesce(_c("image_urls"), F.array().cast("array<string>")), seller=none, collection_tag=none)
     raise ValueError(f"unknown resale source: {source}")
 
 
