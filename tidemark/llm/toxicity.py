@@ -31,8 +31,8 @@ from tidemark.llm.tables import HashTable
 
 SAMPLE_PER_CLASS = 8000
 PREFIXES = (4, 5, 6)
-PRIOR_SHARE = 0.01  # of the pooled counts
-MIN_Z = 3.0
+PRIOR_SHARE = 0.1  # of the pooled counts
+MIN_Z = 2.5
 MIN_DOCS = 4
 BACKGROUND = -0.4
 
