@@ -183,7 +183,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Which pivots a class meets in its buckets; the buckets themselves are not kept.
     met = scratch.save(keys.join(shared, "key").select("rep", "n", "pivot").distinct(), "met")
     texts = df.select(F.col(id_col).cast("long").alias("id"), text_col)
-    sets = scratch.save(_sets(texts.join(met.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi"), text_col, k), "sets")
+    # Full sets are the bulk of what is moved: they are laid out by id once, and no join shuffles them again.
+    sets = scratch.save_bucketed(_sets(texts.join(met.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi"), text_col, k), "sets", "id")
     links = scratch.save(_verified(_stars(met, percent), sets, percent), "links-0")
     comp = scratch.save(components(links, scratch, "cc-0"), "comp-0")
 
