@@ -1,30 +1,15 @@
-"""What every operator here needs from the cluster: shared scratch tables and its own code on the executors."""
+"""What every operator here needs from the cluster: shared scratch tables, inputs, and the package on the executors."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
+from tidemark.session import ship
 
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once per Spark application."""
-    package = Path(__file__).resolve().parents[1]
-    app = spark.sparkContext.applicationId
-    if app in _shipped or str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    archive = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in package.rglob("*.py"):
-            z.write(p, p.relative_to(package.parent))
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
+__all__ = ["Scratch", "read", "ship"]
 
 
 class Scratch:
