@@ -181,8 +181,10 @@ def brute_contamination(texts, items):
     weight = lambda s: float(np.log1p(len(items) / df[s])) if s in df else float(np.log1p(len(items)))
     out = {}
     for d, t in enumerate(texts):
-        w = words_of(t)
+        w, here = words_of(t), shingle_set(t)
         for i, (own, size) in sets.items():
+            if size >= 5 and not own & here:
+                continue
             for at in range(len(w) - size + 1 if own else 0):
                 win = shingle_set(" ".join(w[at : at + size]))
                 if win & own:
