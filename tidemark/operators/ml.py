@@ -21,7 +21,7 @@ def matrix(rows: DataFrame) -> DataFrame:
     return out.withColumn("weight", F.when(F.col("y") > 0, 0.5 / share).otherwise(0.5 / (1 - share)))
 
 
-def train(rows: DataFrame, trees: int = 20, depth: int = 4, rate: float = 0.05, seed: int = 7) -> PipelineModel:
+def train(rows: DataFrame, trees: int = 200, depth: int = 4, rate: float = 0.05, seed: int = 7) -> PipelineModel:
     filled = [f"{c}_f" for c in NUMERIC]
     stages = [
         Imputer(inputCols=NUMERIC, outputCols=filled, strategy="median"),

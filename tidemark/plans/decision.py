@@ -20,7 +20,7 @@ def _labels(s, d):
 
 
 def _cells(s, d):
-    """Labelled cells of the feature queries: every family that was sold, at four moments a year apart."""
+    """Cells of the feature queries that have a SQL twin: every family at the twins' five moments a year apart."""
     days = src.values(s, [("1996-06-01",), ("1997-06-01",), ("1998-06-01",), ("1999-06-01",), ("2000-06-01",)], "m").select(F.col("m").cast("date").alias("prediction_moment"))
     return src.families(s, d).select("family_id", (F.col("collab_flag")).alias("label")).join(F.broadcast(days), F.lit(True))
 
@@ -29,6 +29,11 @@ def _features(s, d, events=True):
     return feat.features(_cells(s, d), src.sales(s, d), src.attention(s, d), src.families(s, d), src.celebrity_events(s, d) if events else None)
 
 
+def _labelled_features(s, d):
+    """Features of every labelled (family, moment) with its label, as the classifier needs them."""
+    return feat.features(_labels(s, d), src.sales(s, d), src.attention(s, d), src.families(s, d), src.celebrity_events(s, d))
+
+
 def _rounded(df, places=6):
     """Doubles to six places: sums of doubles differ in their last bits between engines."""
     return df.select(*(rounded(F.col(c), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
@@ -72,7 +77,7 @@ def _per_cutoff(s, d):
 
 def _gbt(s, d):
     """Scores of a boosted-tree model on the moments from 1999 on; trained on those before."""
-    rows = _features(s, d).persist()
+    rows = _labelled_features(s, d).persist()
     model = ml.train(rows.where("prediction_moment < '1999-01-01'"))
     return ml.scores(model, rows.where("prediction_moment >= '1999-01-01'"))
 
