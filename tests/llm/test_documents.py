@@ -99,6 +99,16 @@ def test_secrets(spark):
     assert masked[7] == "key <secret> end" and masked[0] is None and masked[3] == SECRETS[3] and masked[2] == "é <secret>'"
 
 
+RANDOM_LETTERS = ["xKqZvTnWmRbLpHjGdFsQ", "xKqZvTnWmRbLpHjGdFsQ-12", "2024/xKqZvTnWmRbLpHjGdFsQ/report"]
+PLAIN = ["internationalization", "configuration_settings_default_values", "getElementByIdFromTheDocument", "report-2024-01-31-final-12", "/usr/local/share/documentation", "a-b-c-d-e-f-g-h-i-j-k-l"]
+
+
+def test_random_letters(spark):
+    texts = [f"see {x} here" for x in RANDOM_LETTERS + PLAIN]
+    masked = [r["text"] for r in secret_scan.mask_secrets(docs(spark, texts), PATH).orderBy("doc_id").collect()]
+    assert masked == ["see <secret> here"] * len(RANDOM_LETTERS) + texts[len(RANDOM_LETTERS) :]
+
+
 def test_secret_query(spark, tiny):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     for r in queries.op3_secret_scan(spark, tiny).collect():

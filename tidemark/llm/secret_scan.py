@@ -1,9 +1,11 @@
 """Secret scanning: fixed patterns plus a token-efficiency test on long unbroken strings.
 
 A random string costs many tokens under a byte-level BPE vocabulary: few characters per token. Runs of
-key-like characters that hold digits and letters are encoded and reported (kind `random`) when their
-characters per token stay under a threshold, unless they are known identifiers: UUIDs, digests of the
-standard lengths (alone or behind a digest's name), or strings of plain words and dates.
+key-like characters that hold letters, with or without digits, are encoded and reported (kind `random`)
+when their characters per token stay under a threshold, unless they are known identifiers: UUIDs, digests
+of the standard lengths (alone or behind a digest's name), or strings of plain words and dates. Letters are
+plain words if each segment of LONG_SEGMENT letters or more passes the threshold, and the
+shorter ones do together or are single tokens.
 
 Defined results: a null or empty text has no spans; positions are code points, ends exclusive; equal
 texts give equal rows; texts of any length are scanned whole; further columns pass through untouched.
@@ -32,15 +34,15 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|sha(1|224|256|384|512)[-=][A-Za-z0-9+/=]+|md5[-=][A-Za-z0-9+/=]+")
 NAMES = re.compile(r"([A-Za-z]+|[0-9]{1,8})([_/=.+-]([A-Za-z]+|[0-9]{1,8}))*")
+DIGITS, LETTERS = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]+")
 MIN_RUN = 20
+LONG_SEGMENT = 8
 MAX_RATIO = 2.2
 
 _RUN = np.zeros(256, bool)
 _RUN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
 _HEX = np.zeros(256, bool)
 _HEX[[*b"0123456789abcdef"]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[[*b"0123456789"]] = True
 _ALPHA = np.zeros(256, bool)
 _ALPHA[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
 
@@ -61,20 +63,42 @@ def _long_runs(mask: np.ndarray, data: np.ndarray, offsets: np.ndarray, least: i
 def random_runs(data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary, min_run: int = MIN_RUN, max_ratio: float = MAX_RATIO) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of the unbroken runs that encode badly and are not known identifiers."""
     start, end = _long_runs(_RUN, data, offsets, min_run)
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     letters = np.concatenate([[0], np.cumsum(_ALPHA[data])])
-    keep = (digits[end] > digits[start]) & (letters[end] > letters[start])
+    keep = letters[end] > letters[start]
     start, end = start[keep], end[keep]
     if not len(start):
         return start, end
-    runs = [data[a:b].tobytes().decode("ascii") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-    known = np.array([bool(UUID.fullmatch(r) or DIGEST.fullmatch(r) or NAMES.fullmatch(r)) for r in runs])
     size = end - start
     _, bounds = vocab.encode(data[ta.ragged(start, size)], np.concatenate([[0], np.cumsum(size)]))
-    keep = ~known & (size / np.maximum(np.diff(bounds), 1) <= max_ratio)
+    low = size / np.maximum(np.diff(bounds), 1) <= max_ratio
+    start, end = start[low], end[low]
+    runs = [data[a:b].tobytes().decode("ascii") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    words = _plain_words(runs, vocab, max_ratio)
+    keep = np.array([not (w or UUID.fullmatch(r) or DIGEST.fullmatch(r)) for r, w in zip(runs, words, strict=True)], bool)
     return start[keep], end[keep]
 
 
+def _plain_words(runs: list[str], vocab: Vocabulary, max_ratio: float) -> list[bool]:
+    """Whether a run is a name (NAMES, or any run without digits) whose letter segments encode as words.
+
+    Capitals encode badly, so segments of one case are lower-cased. Long ones are judged each, short ones together.
+    """
+    named = [bool(NAMES.fullmatch(r)) or not DIGITS.search(r) for r in runs]
+    parts = [LETTERS.findall(r) if n else [] for r, n in zip(runs, named, strict=True)]
+    flat = [p for ps in parts for p in ps]
+    if not flat:
+        return named
+    size = np.array([len(p) for p in flat])
+    _, bounds = vocab.encode(np.frombuffer("".join(p.lower() if p.isupper() or p.istitle() else p for p in flat).encode(), np.uint8), np.concatenate([[0], np.cumsum(size)]))
+    tokens = np.diff(bounds)
+    owner = np.repeat(np.arange(len(runs)), [len(ps) for ps in parts])
+    total = lambda x: np.bincount(owner, x, len(runs))
+    bad = total((size >= LONG_SEGMENT) & (size <= max_ratio * tokens)) > 0
+    short = size < LONG_SEGMENT
+    bad |= (total(short * size) <= max_ratio * total(short * tokens)) & (total(short & (tokens > 1)) > 0)
+    return [n and not b for n, b in zip(named, bad.tolist(), strict=True)]
+
+
 def scan(data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary) -> list[list[tuple[int, int, str]]]:
     """For each document its spans (start, end, kind) by start, then kind as listed in KINDS.
 
