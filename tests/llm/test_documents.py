@@ -221,3 +221,22 @@ def test_contamination(spark):
     assert got.keys() == want.keys() and len(got) > 15
     assert all(got[k] == (pytest.approx(want[k][0]), want[k][1]) for k in want)
     assert decontaminate.contamination_report(docs(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_contamination_of_texts_shorter_than_the_item(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(60)]
+    texts = [" ".join(words[:57]), " ".join(words[3:]), " ".join(words[:20]), " ".join(words[:4]), "x " + " ".join(words)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:57]))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["first_word"], r["words"], r["similarity"]) for r in decontaminate.contamination_report(docs(spark, texts), bench).collect()}
+    weight = lambda s: float(np.log1p(2 / sum(s in shingle_set(" ".join(words[:n])) for n in (60, 57))))
+
+    def similarity(a, b):
+        a, b = shingle_set(" ".join(a)), shingle_set(" ".join(b))
+        return pytest.approx(sum(map(weight, a & b)) / sum(map(weight, a | b)))
+
+    assert got == {
+        (0, 1): (0, 57, similarity(words[:57], words)), (0, 2): (0, 57, 1.0),
+        (1, 1): (0, 57, similarity(words[3:], words)), (1, 2): (0, 57, similarity(words[3:], words[:57])),
+        (4, 1): (1, 60, 1.0), (4, 2): (1, 57, 1.0),
+    }

@@ -4,7 +4,8 @@ Every benchmark item has a SimHash fingerprint of its five-word shingles, weight
 the benchmark. For each item length the same fingerprint is taken of a text's windows of that many
 words. Fingerprints are cut into eight blocks of eight bits; the index holds every block value within
 one bit of an item's, so by the pigeonhole principle all pairs within RADIUS bits meet. Those are
-verified by weighted Jaccard similarity of their full shingle sets.
+verified by weighted Jaccard similarity of their full shingle sets. A text with fewer words than an item
+has one window for it, the whole text.
 
 Windows that hold no shingle of any item have similarity 0 to all and are passed over before they are
 fingerprinted; this loses nothing. The benchmark side is held by every task, so it is taken in parts of
@@ -132,6 +133,7 @@ class Part:
             w = np.where(r >= 0, self.weight[r], self.unknown)
             doc = np.searchsorted(bounds, held, "right") - 1
             seen = np.concatenate([[0], np.cumsum(r >= 0)])
+            inside, opens = np.unique(doc, return_index=True)  # a text shorter than the longest item is held whole
             sums = None
             for size in [s for s in self.lengths if (s >= K if k == K else s == k)]:
                 need = size - k + 1
@@ -139,6 +141,9 @@ class Part:
                 last = begin + need - 1
                 whole = (held[last] - held[begin] == need - 1) & (doc[last] == doc[begin]) & (seen[last + 1] > seen[begin])
                 begin = begin[whole]
+                brief = n_words[inside] < size
+                need = np.concatenate([np.full(len(begin), need), count[inside[brief]]])
+                begin = np.concatenate([begin, opens[brief]])
                 if not len(begin):
                     continue
                 if sums is None:
@@ -155,14 +160,14 @@ class Part:
                 win, own = pair // len(items), pair % len(items)
                 close = np.bitwise_count(prints[win] ^ theirs[own]) <= radius
                 for i, o in zip(win[close].tolist(), own[close].tolist(), strict=True):
-                    item, at = int(items[o]), int(begin[i])
-                    mine = dict(zip(h[at : at + need].tolist(), w[at : at + need].tolist(), strict=True))
+                    item, at, n = int(items[o]), int(begin[i]), int(need[i])
+                    mine = dict(zip(h[at : at + n].tolist(), w[at : at + n].tolist(), strict=True))
                     theirs_set = self.sets[item]
                     common = sum(v for s, v in mine.items() if s in theirs_set)
                     sim = common / (sum(mine.values()) + float(self.totals[item]) - common)
                     if sim >= least:
                         d = int(doc[at])
-                        new = (-sim, int(place[held[at]] - first[d]), size)
+                        new = (-sim, int(place[held[at]] - first[d]), n + k - 1)
                         if new < best.get((d, item), (1.0, 0, 0)):
                             best[d, item] = new
         return [(d, self.item_ids[i], at, size, -sim) for (d, i), (sim, at, size) in sorted(best.items())]
