@@ -2,6 +2,7 @@
 
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -115,6 +116,18 @@ def test_nearest(spark):
     assert [r["rank"] for r in few] == [1, 2]
 
 
+def test_every_query_has_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = [(0, [-1.0] + [0.0] * 7)] + [(i, [1.0, *(rng.standard_normal(7) * 0.1).tolist()]) for i in range(1, 120)]
+    ends = np.eye(8)[[0, 0, 0]] * [[-1], [1], [1]] + [[0] * 8, [0] * 8, [0, 1e-3] + [0] * 6]
+    monkeypatch.setattr(ann.Index, "fit", staticmethod(lambda *_: ann.Index(ann.unit(ends), np.eye(8), 1)))
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = Counter(r["query_id"] for r in ann.neighbours(rows).collect())
+    assert got == {0: 5, 50: 5, 100: 5}
+    few = Counter(r["query_id"] for r in ann.neighbours(rows.where("vec_id < 4")).collect())
+    assert few == {0: 3}
+
+
 def test_recall_of_query(spark, tiny):
     rows = spark.read.parquet(f"{tiny}/embeddings.parquet").select("vec_id", "embedding").collect()
     want = brute([tuple(r) for r in rows])

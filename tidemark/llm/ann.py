@@ -2,7 +2,8 @@
 
 A bounded sample gives the cells' centroids. Every vector is assigned to its nearest cell and its unit
 residual there is rotated at random and kept as packed sign bits with two correction scalars: its
-length and its inner product with its own code. A query visits the `probes` nearest cells; packed bits
+length and its inner product with its own code. A query visits the `probes` nearest cells, and further
+ones until those it visits hold k vectors besides itself or no cell is left; packed bits
 and scalars give an unbiased estimate of each inner product with an error bound, and only vectors whose
 bound can still reach the query's best six are compared exactly, in double precision.
 
@@ -67,9 +68,12 @@ class Index:
     def cell(self, unit: np.ndarray) -> np.ndarray:
         return (unit @ self.centroids.T).argmax(1)
 
-    def cells_of_queries(self, unit: np.ndarray) -> np.ndarray:
+    def cells_of_queries(self, unit: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell) of the `probes` nearest cells, and of the next ones as long as those before hold under `least` vectors."""
         near = np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")
-        return near[:, : self.probes]
+        before = np.cumsum(sizes[near], axis=1) - sizes[near]
+        query, place = np.nonzero((np.arange(near.shape[1]) < self.probes) | (before < least))
+        return query, near[query, place]
 
     def encode(self, unit: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Packed sign bits, residual lengths, and inner products of the residual directions with their codes."""
@@ -163,11 +167,14 @@ def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = index.cells_of_queries(unit(_matrix(batch.column("v"))))
-            at = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column("qid").take(at), batch.column("v").take(at), pa.array(near.ravel(), pa.int32())], names=["qid", "v", "cell"])
+            query, cell = index.cells_of_queries(unit(_matrix(batch.column("v"))), sizes, k + 1)
+            at = pa.array(query)
+            yield pa.RecordBatch.from_arrays([batch.column("qid").take(at), batch.column("v").take(at), pa.array(cell, pa.int32())], names=["qid", "v", "cell"])
 
     coded = scratch.save(kept.mapInArrow(assign, "id long, v array<double>, cell int, code binary, length double, own double"), "coded")
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for r in coded.groupBy("cell").count().collect():
+        sizes[r["cell"]] = r["count"]
     routed = scratch.save(distinct.select("qid", "v").mapInArrow(route, "qid long, v array<double>, cell int"), "routed")
     # At most MAX_CELLS rows either: how many blocks each cell's vectors and queries need.
     blocks = coded.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
