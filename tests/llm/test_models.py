@@ -58,6 +58,20 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in langid.identify(rows, None).collect()} == {"und"}
 
 
+def test_language_keeps_all_counts(spark, monkeypatch):
+    """Over four million different four-grams, nearly all of them met once."""
+    letters = np.random.default_rng(8).integers(0x4E00, 0x9FA5, (40, 110000)).astype(np.uint16)
+    texts = [row.tobytes().decode("utf-16-le") for row in letters]
+    monkeypatch.setattr(langid.Identifier, "build", staticmethod(lambda models: models))
+    monkeypatch.setattr(langid, "calibrate", lambda models, *_: models)
+    rows = spark.createDataFrame([(t, ("a", "b")[i % 2]) for i, t in enumerate(texts)], "text string, lang string")
+    models = langid.train(rows)
+    for at, lang in enumerate("ab"):
+        raw = [np.frombuffer(t.encode(), np.uint8) for t in texts[at::2]]
+        want = np.unique(np.concatenate([langid.fourgrams(r, np.array([0, len(r)]))[0] for r in raw]))
+        assert np.array_equal(models[lang].keys[0], want) and len(want) > 2_100_000
+
+
 def test_toxicity_query(spark, tiny):
     rows = queries.op10_toxicity(spark, tiny.replace("0.001", "0.01")).collect()
     toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{tiny.replace('0.001', '0.01')}/labels.parquet").collect()}

@@ -33,7 +33,6 @@ from tidemark.llm.labelled import held_out
 ORDER = 4
 UND = "und"
 CALIBRATION_DOCS = 2000
-MAX_TYPES = 4_000_000
 _CHARS = 65536
 
 
@@ -184,29 +183,22 @@ def _count(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return df.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_types: int = MAX_TYPES) -> Identifier | None:
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Identifier | None:
     """Count over all rows with text and language, then build the models; None without such rows.
 
-    The model is held by the driver and every worker, so its size is bounded: beyond max_types different
-    four-grams (a natural language has well under a million) the rarest counts are pruned.
+    All counts are kept, whatever their number; the driver gathers one language at a time. The models are
+    held by the driver and every worker and grow with the number of different four-grams.
     """
     ship(df.sparkSession)
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col)
     counts = _count(rows, text_col, lang_col).persist()
-    sizes = {r["n"]: r["types"] for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("types")).collect()}
-    least, kept = 1, sum(sizes.values())
-    while kept > max_types and least < 1000:
-        kept -= sizes.get(least, 0)
-        least += 1
-    got = counts.where(F.col("n") >= least).toArrow()
-    counts.unpersist()
-    langs = np.array(got["lang"].to_pylist(), dtype=object)
-    keys, n = np.asarray(got["key"]).view(np.uint64), np.asarray(got["n"])
     models = {}
-    for lang in sorted(set(langs.tolist())):
-        here = np.flatnonzero(langs == lang)
-        here = here[np.argsort(keys[here])]
-        models[lang] = CharModel.build(keys[here], n[here])
+    for lang in sorted(r["lang"] for r in counts.select("lang").distinct().collect()):
+        got = counts.where(F.col("lang") == lang).select("key", "n").toArrow()
+        keys, n = np.asarray(got["key"]).view(np.uint64), np.asarray(got["n"])
+        order = np.argsort(keys)
+        models[lang] = CharModel.build(keys[order], n[order])
+    counts.unpersist()
     return calibrate(Identifier.build(models), df, text_col, lang_col) if models else None
 
 
