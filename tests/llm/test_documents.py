@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontaminate, license_scan, near_dedup, queries, secret_scan, substring_dedup
@@ -240,3 +241,15 @@ def test_contamination_of_texts_shorter_than_the_item(spark):
         (1, 1): (0, 57, similarity(words[3:], words)), (1, 2): (0, 57, similarity(words[3:], words[:57])),
         (4, 1): (1, 60, 1.0), (4, 2): (1, 57, 1.0),
     }
+
+
+def test_contamination_at_the_threshold():
+    """Items with words replaced so that the similarity is just over 0.8: none of the pairs is lost."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [[word() for _ in range(60)] for _ in range(600)]
+    part = decontaminate.Part.build(list(range(600)), [" ".join(t) for t in items])
+    texts = [" ".join([*t[:30], word(), *t[31:59], word()]) for t in items]
+    hits = part.matches(*decontaminate._words(pa.array(texts)), 0.8, decontaminate.RADIUS)
+    assert [(d, i) for d, i, *_ in hits] == [(d, d) for d in range(600)]
+    assert all(0.8 <= sim < 0.81 for *_, sim in hits)

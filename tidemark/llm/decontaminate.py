@@ -3,7 +3,7 @@
 Every benchmark item has a SimHash fingerprint of its five-word shingles, weighted by their rarity in
 the benchmark. For each item length the same fingerprint is taken of a text's windows of that many
 words. Fingerprints are cut into eight blocks of eight bits; the index holds every block value within
-one bit of an item's, so by the pigeonhole principle all pairs within RADIUS bits meet. Those are
+two bits of an item's, so by the pigeonhole principle all pairs within RADIUS bits meet. Those are
 verified by weighted Jaccard similarity of their full shingle sets. A text with fewer words than an item
 has one window for it, the whole text.
 
@@ -33,12 +33,14 @@ from tidemark.llm.cluster import ship
 from tidemark.llm.tables import HashTable
 
 K = 5
-RADIUS = 15
+RADIUS = 23
 BLOCKS = 8
 SIMILARITY = 0.8
 PART_BYTES = 16 << 20
+PAIRS = 1 << 22
 
 _BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_NEAR = np.flatnonzero(np.bitwise_count(np.arange(256)) <= 2)
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +64,19 @@ def _block_values(prints: np.ndarray) -> np.ndarray:
     return np.stack([((prints >> np.uint64(8 * b)) & np.uint64(255)) | np.uint64(b << 8) for b in range(BLOCKS)]).astype(np.int64)
 
 
+def _meetings(lo: np.ndarray, hi: np.ndarray, owner: np.ndarray, n: int, prints: np.ndarray, theirs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, item) pairs that share a block value and are within radius bits; about PAIRS candidates are held at once."""
+    found = []
+    ends = np.cumsum((hi - lo).sum(0)) // PAIRS
+    cuts = np.concatenate([[0], np.flatnonzero(ends[1:] > ends[:-1]) + 1, [len(prints)]])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        size = (hi[:, a:b] - lo[:, a:b]).ravel()
+        pair = np.unique(np.repeat(np.tile(np.arange(a, b), BLOCKS), size) * n + owner[ta.ragged(lo[:, a:b].ravel(), size)])
+        found.append(pair[np.bitwise_count(prints[pair // n] ^ theirs[pair % n]) <= radius])
+    pair = np.concatenate(found)
+    return pair // n, pair % n
+
+
 @dataclass
 class Part:
     """One part of the benchmark, ready to search."""
@@ -92,7 +107,7 @@ class Part:
         for size in np.unique(n_words[n_words > 0]).tolist():
             items = np.flatnonzero(n_words == size)
             values = _block_values(prints[items])
-            near = np.concatenate([values[..., None], values[..., None] ^ (1 << np.arange(8))], axis=2)
+            near = values[..., None] ^ _NEAR
             owner = np.broadcast_to(np.arange(len(items))[None, :, None], near.shape)
             order = np.argsort(near.ravel(), kind="stable")
             lengths[size] = (items, prints[items], near.ravel()[order], owner.ravel()[order])
@@ -154,12 +169,8 @@ class Part:
                 items, theirs, keys, owner = self.lengths[size]
                 values = _block_values(prints)
                 lo, hi = np.searchsorted(keys, values), np.searchsorted(keys, values, "right")
-                found = ta.ragged(lo.ravel(), (hi - lo).ravel())
-                win = np.repeat(np.tile(np.arange(len(begin)), BLOCKS), (hi - lo).ravel())
-                pair = np.unique(win * len(items) + owner[found])
-                win, own = pair // len(items), pair % len(items)
-                close = np.bitwise_count(prints[win] ^ theirs[own]) <= radius
-                for i, o in zip(win[close].tolist(), own[close].tolist(), strict=True):
+                win, own = _meetings(lo, hi, owner, len(items), prints, theirs, radius)
+                for i, o in zip(win.tolist(), own.tolist(), strict=True):
                     item, at, n = int(items[o]), int(begin[i]), int(need[i])
                     mine = dict(zip(h[at : at + n].tolist(), w[at : at + n].tolist(), strict=True))
                     theirs_set = self.sets[item]
