@@ -2,6 +2,11 @@
 
 quality classifier -> MinHash near-dedup -> benchmark decontamination -> secret scan -> byte-level BPE.
 Every stage but the last returns the columns of documents; the last one returns the token ids.
+
+Defined results: a document whose text is null or empty has no content and goes with the quality stage;
+rows that repeat an id leave near-dedup as one row; texts of any length are read whole; a null `lang` or
+`source` passes through; an empty table gives no rows, and without labels all documents with text stay;
+columns beyond those of documents are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, near_dedup, quality, secret_scan
-from tidemark.llm.cluster import Scratch, read
+from tidemark.llm.cluster import Scratch, read, with_ids, without_ids
 from tidemark.llm.queries import rank_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,9 +28,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of least id, of each group of near copies."""
+    """Keeps one document, that of least id, of each group of near copies.
+
+    Rows that share an id are one document: it stays if any of them is kept, with the row of least text.
+    """
     found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    ids = Scratch(spark, "near-ids").save(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows")), "ids")
+    docs = without_ids(docs, ids.where("not kept").select("doc_id"), "doc_id")
+    again = ids.where("kept and rows > 1").select("doc_id")
+    if again.isEmpty():
+        return docs.select(*COLUMNS)
+    first = with_ids(docs, again, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", *COLUMNS[2:])).alias("r")).select("doc_id", "r.*")
+    return without_ids(docs, again, "doc_id").select(*COLUMNS).unionByName(first.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

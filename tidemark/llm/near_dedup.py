@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textarrays as ta
-from tidemark.llm.cluster import Scratch, ship
+from tidemark.llm.cluster import Scratch, ship, with_ids
 from tidemark.llm.components import components
 
 M, ROWS = 8, 3
 PERCENT = 85
 BITS = 1024
+#: Edges of one pivot that one key of a join holds at most, about.
+SPREAD = 256
 _A = [f"a{i}" for i in range(M)]
 _B = [f"b{i}" for i in range(M)]
 _seeds = np.random.default_rng(7919).integers(1, 1 << 63, (2 * M * ROWS, 2), dtype=np.int64).astype(np.uint64)
@@ -108,18 +110,29 @@ def _parities_allow(percent: int) -> Column:
     return differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
 
 
+def _beside(edges: DataFrame, rows: DataFrame, node: str, other: str) -> DataFrame:
+    """edges (u, v, fan) with the columns of rows, which has one row per `node`.
+
+    A node's row is copied fan times and its edges are dealt over the copies, so one node's edges never
+    land in one task.
+    """
+    copies = rows.join(edges.groupBy(node).agg(F.max("fan").alias("copies")), node)
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return edges.withColumn("salt", F.pmod(F.xxhash64(other), F.col("fan")).cast("int")).join(copies, [node, "salt"]).drop("salt")
+
+
 def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges (u, v) whose full sets are similar enough.
+    """The edges (u, v, fan) whose full sets are similar enough, as (u, v).
 
     Sizes and parity bits rule out most false candidates exactly; only the rest carry full sets through
     a shuffle.
     """
-    small = sets.select("id", F.size("shingles").alias("n"), "bits")
-    hers = small.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("bits").alias("mbits"))
-    close = edges.join(small.withColumnRenamed("id", "u"), "u").join(hers, "v").where(_fits(percent) & _parities_allow(percent)).select("u", "v")
+    mine = sets.select(F.col("id").alias("u"), F.size("shingles").alias("n"), "bits")
+    hers = sets.select(F.col("id").alias("v"), F.size("shingles").alias("m"), F.col("bits").alias("mbits"))
+    close = _beside(_beside(edges.select("u", "v", "fan"), mine, "u", "v"), hers, "v", "u").where(_fits(percent) & _parities_allow(percent)).select("u", "v", "fan")
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("y"))
-    return close.join(left, "u").join(right, "v").where(_similar(percent)).select("u", "v")
+    return _beside(_beside(close, left, "u", "v"), right, "v", "u").where(_similar(percent)).select("u", "v")
 
 
 def _fits(percent: int) -> Column:
@@ -127,11 +140,21 @@ def _fits(percent: int) -> Column:
     return F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
 
 
-def _stars(met: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) between pivots and the classes that meet them, where the sizes allow a link."""
-    size = met.where("rep = pivot").select("pivot", F.col("n").alias("m")).distinct()
-    own = met.where("rep <> pivot").join(size, "pivot", "left")
-    return own.where(F.col("m").isNull() | _fits(percent)).select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
+def _stars(groups: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v, fan) between each bucket's pivot and its members (key, rep, n, c) of other components, if the sizes allow a link.
+
+    buckets: (key, pivot struct<rep, n, c>, members). fan is the number of parts in which a pivot's edges are dealt.
+    """
+    met = groups.join(buckets, "key").where((F.col("c") != F.col("pivot.c")) & _fits_pivot(percent))
+    return met.groupBy(F.col("pivot.rep").alias("u"), F.col("rep").alias("v")).agg(F.max(_fan("members")).alias("fan"))
+
+
+def _fits_pivot(percent: int) -> Column:
+    return F.least("n", "pivot.n") * 100 >= F.greatest("n", "pivot.n") * percent
+
+
+def _fan(members: str) -> Column:
+    return F.ceil(F.col(members) / SPREAD).cast("int")
 
 
 def _place(rows: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
@@ -155,6 +178,12 @@ def _prefix_groups(sets: DataFrame, percent: int) -> DataFrame:
     return ranked.withColumn("at", at).where(at <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("key", "rep", "n", "at")
 
 
+def _apart(groups: DataFrame) -> DataFrame:
+    """(key, pivot struct<rep, n, c>, members) of the keys whose members lie in several components c."""
+    per = groups.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n", "c")).alias("pivot"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    return per.where("lo < hi").select("key", "pivot", "members")
+
+
 def _may_link(percent: int) -> Column:
     """Exact bounds for two sets (n, at, bits) and (m, mat, mbits) that share the key at these places.
 
@@ -178,37 +207,39 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = scratch.save(_sign(df, id_col, text_col, k), "signed")
     classes = scratch.save(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies"), *(F.min(c).alias(c) for c in (*_A, *_B))), "classes")
     tables = F.array(*(F.xxhash64(F.lit(i * M + j), F.col(a), F.col(b)) for i, a in enumerate(_A) for j, b in enumerate(_B)))
-    keys = classes.select("rep", F.col("n").cast("int").alias("n"), F.explode(tables).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1")
+    keys = classes.select("rep", F.explode(tables).alias("key"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1")
     # Which pivots a class meets in its buckets; the buckets themselves are not kept.
-    met = scratch.save(keys.join(shared, "key").select("rep", "n", "pivot").distinct(), "met")
+    met = scratch.save(keys.join(buckets, "key").groupBy("rep", "pivot").agg(F.max(_fan("members")).alias("fan")), "met")
+    stars = met.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v"), "fan")
+    # Full sets are the bulk of what is moved: they are laid out by id once.
     texts = df.select(F.col(id_col).cast("long").alias("id"), text_col)
-    # Full sets are the bulk of what is moved: they are laid out by id once, and no join shuffles them again.
-    sets = scratch.save_bucketed(_sets(texts.join(met.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi"), text_col, k), "sets", "id")
-    links = scratch.save(_verified(_stars(met, percent), sets, percent), "links-0")
+    sets = scratch.save_bucketed(_sets(with_ids(texts, met.select(F.col("rep").alias("id")).distinct(), "id"), text_col, k), "sets", "id")
+    links = scratch.save(_verified(stars, sets, percent), "links-0")
     comp = scratch.save(components(links, scratch, "cc-0"), "comp-0")
 
-    # Classes in buckets that are still split go on with an exact prefix filter.
-    placed = _place(_place(met, comp, "rep", "c"), comp, "pivot", "d")
-    split = placed.where("c <> d").select("pivot").distinct()
+    # Classes in buckets that are still split go on with an exact prefix filter. Every pivot meets itself.
+    placed = _place(met, comp, "rep", "c")
+    split = placed.groupBy("pivot").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("pivot")
     open_ = met.join(split, "pivot", "left_semi").select("rep").distinct()
-    groups = scratch.save(_prefix_groups(sets.join(open_, F.col("id") == F.col("rep"), "left_semi"), percent), "groups")
-    least = groups.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("key", "pivot")
-    starred = groups.join(least, "key").select("rep", "n", "pivot").distinct()
-    apart = _place(_place(starred, comp, "rep", "c"), comp, "pivot", "d").where("c <> d").select("rep", "n", "pivot")
-    links = scratch.save(links.unionByName(_verified(_stars(apart, percent), sets, percent)), "links-1")
+    groups = _prefix_groups(sets.join(open_, F.col("id") == F.col("rep"), "left_semi"), percent)
+    groups = scratch.save(_place(groups, comp, "rep", "c"), "groups")
+    starred = _stars(groups, _apart(groups), percent)
+    links = scratch.save(links.unionByName(_verified(starred, sets, percent)), "links-1")
     comp = scratch.save(components(links, scratch, "cc-1"), "comp-1")
-    left = _place(groups, comp, "rep", "c")
-    apart = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = scratch.save(left.join(apart, "key", "left_semi").join(sets.select(F.col("id").alias("rep"), "bits"), "rep"), "apart")
+    left = _place(groups.drop("c"), comp, "rep", "c")
+    apart = _apart(left).select("key", _fan("members").alias("fan"))
+    left = scratch.save(left.join(apart, "key").join(sets.select(F.col("id").alias("rep"), "bits"), "rep"), "apart")
     right = left.select("key", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("at").alias("mat"), F.col("bits").alias("mbits"), F.col("c").alias("d"))
-    pairs = left.join(right, "key").where((F.col("rep") > F.col("pivot")) & (F.col("c") != F.col("d")) & _may_link(percent)).select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
+    pairs = left.join(right, "key").where((F.col("rep") > F.col("pivot")) & (F.col("c") != F.col("d")) & _may_link(percent))
+    pairs = pairs.groupBy(F.col("pivot").alias("u"), F.col("rep").alias("v")).agg(F.max("fan").alias("fan"))
     links = scratch.save(links.unionByName(_verified(pairs, sets, percent)), "links-2")
     comp = scratch.save(components(links, scratch, "cc-2"), "comp-2")
 
     # A class's component is named by its least document; only classes with copies or links need the join back.
     named = classes.select("s1", "s2", "rep", "copies").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = scratch.save(named.where("copies > 1 or component is not null").select("s1", "s2", F.coalesce("component", "rep").alias("component")), "named")
+    scratch.keep("signed", "named")
     out = signed.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
