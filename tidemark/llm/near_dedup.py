@@ -121,18 +121,19 @@ def _beside(edges: DataFrame, rows: DataFrame, node: str, other: str) -> DataFra
     return edges.withColumn("salt", F.pmod(F.xxhash64(other), F.col("fan")).cast("int")).join(copies, [node, "salt"]).drop("salt")
 
 
-def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges (u, v, fan) whose full sets are similar enough, as (u, v).
+def _verified(edges: DataFrame, sets: DataFrame, percent: int, stars: bool) -> DataFrame:
+    """The edges (u, v, fan) whose full sets are similar enough, as (u, v). In stars only u can have many edges.
 
     Sizes and parity bits rule out most false candidates exactly; only the rest carry full sets through
     a shuffle.
     """
     mine = sets.select(F.col("id").alias("u"), F.size("shingles").alias("n"), "bits")
     hers = sets.select(F.col("id").alias("v"), F.size("shingles").alias("m"), F.col("bits").alias("mbits"))
-    close = _beside(_beside(edges.select("u", "v", "fan"), mine, "u", "v"), hers, "v", "u").where(_fits(percent) & _parities_allow(percent)).select("u", "v", "fan")
+    join_v = (lambda e, rows: e.join(rows, "v")) if stars else (lambda e, rows: _beside(e, rows, "v", "u"))
+    close = join_v(_beside(edges.select("u", "v", "fan"), mine, "u", "v"), hers).where(_fits(percent) & _parities_allow(percent)).select("u", "v", "fan")
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("y"))
-    return _beside(_beside(close, left, "u", "v"), right, "v", "u").where(_similar(percent)).select("u", "v")
+    return join_v(_beside(close, left, "u", "v"), right).where(_similar(percent)).select("u", "v")
 
 
 def _fits(percent: int) -> Column:
@@ -215,7 +216,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Full sets are the bulk of what is moved: they are laid out by id once.
     texts = df.select(F.col(id_col).cast("long").alias("id"), text_col)
     sets = scratch.save_bucketed(_sets(with_ids(texts, met.select(F.col("rep").alias("id")).distinct(), "id"), text_col, k), "sets", "id")
-    links = scratch.save(_verified(stars, sets, percent), "links-0")
+    links = scratch.save(_verified(stars, sets, percent, True), "links-0")
     comp = scratch.save(components(links, scratch, "cc-0"), "comp-0")
 
     # Classes in buckets that are still split go on with an exact prefix filter. Every pivot meets itself.
@@ -225,7 +226,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = _prefix_groups(sets.join(open_, F.col("id") == F.col("rep"), "left_semi"), percent)
     groups = scratch.save(_place(groups, comp, "rep", "c"), "groups")
     starred = _stars(groups, _apart(groups), percent)
-    links = scratch.save(links.unionByName(_verified(starred, sets, percent)), "links-1")
+    links = scratch.save(links.unionByName(_verified(starred, sets, percent, True)), "links-1")
     comp = scratch.save(components(links, scratch, "cc-1"), "comp-1")
     left = _place(groups.drop("c"), comp, "rep", "c")
     apart = _apart(left).select("key", _fan("members").alias("fan"))
@@ -233,7 +234,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     right = left.select("key", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("at").alias("mat"), F.col("bits").alias("mbits"), F.col("c").alias("d"))
     pairs = left.join(right, "key").where((F.col("rep") > F.col("pivot")) & (F.col("c") != F.col("d")) & _may_link(percent))
     pairs = pairs.groupBy(F.col("pivot").alias("u"), F.col("rep").alias("v")).agg(F.max("fan").alias("fan"))
-    links = scratch.save(links.unionByName(_verified(pairs, sets, percent)), "links-2")
+    links = scratch.save(links.unionByName(_verified(pairs, sets, percent, False)), "links-2")
     comp = scratch.save(components(links, scratch, "cc-2"), "comp-2")
 
     # A class's component is named by its least document; only classes with copies or links need the join back.
