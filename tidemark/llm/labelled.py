@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,18 +11,22 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold
 
 
+#: More distinct labels than this are an error: the sample would have no bound.
+MAX_LABELS = 64
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, y int) of at most per_class labelled documents of each label, least id hash first.
 
-    Null labels and null texts do not count; a repeated id has its least label. The chosen ids are a few
-    times per_class rows of two integers, so that side is broadcast.
+    Null labels, missing documents and null texts do not count; a repeated id has its least label. The
+    chosen ids are at most MAX_LABELS times per_class rows of two integers, so that side is broadcast.
     """
-    y = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label).cast("int")).alias("y"))
-    classes = sorted(r["y"] for r in y.select("y").distinct().limit(64).collect())
-    order = F.xxhash64("id")
-    chosen = None
-    for c in classes:
-        part = y.where(F.col("y") == c).orderBy(order, "id").limit(per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    return texts.join(F.broadcast(chosen if chosen is not None else y.limit(0)), "id")
+    y = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label).cast("int")).alias("y"))
+    kinds = y.select("y").distinct().limit(MAX_LABELS + 1).count()
+    if kinds > MAX_LABELS:
+        raise ValueError(f"{label} has over {MAX_LABELS} different values")
+    there = y.join(texts.select("id"), "id", "left_semi")
+    first = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
+    chosen = there.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_class).select("id", "y")
+    return texts.join(F.broadcast(chosen), "id")

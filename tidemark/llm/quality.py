@@ -1,7 +1,7 @@
 """Quality classifier: ordinal cumulative-link regression on hashed text features.
 
-Grades 0..K-1 share one weight vector over hashed byte trigrams and word shapes; K-1 ordered thresholds
-cut the latent score: P(grade <= k) = sigmoid(threshold_k - score). The model gives the expected grade
+Grades (any integers) share one weight vector over hashed byte trigrams and word shapes; one ordered
+threshold between each two neighbouring grades cuts the latent score: P(grade <= k) = sigmoid(threshold_k - score). The model gives the expected grade
 and the tail probability P(grade >= wanted) by which documents are kept.
 
 Fitting uses a bounded sample: at most SAMPLE_PER_GRADE labelled documents of each grade.
@@ -71,15 +71,17 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
+    grades: np.ndarray  # the grades met in training, ascending; they may have gaps and be negative
 
     def tails(self, x: np.ndarray) -> np.ndarray:
-        """P(grade >= k) for k = 1..K-1, one row per document."""
+        """P(grade >= grades[k]) for k = 1..K-1, one row per document."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - (x @ self.weights)[:, None], -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, grades: int, penalty: float = 2e-4, steps: int = 250) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, steps: int = 250) -> Model:
     """Accelerated gradient descent on the penalised negative log-likelihood, every grade weighing the same."""
-    n = len(y)
+    names, y = np.unique(y, return_inverse=True)
+    n, grades = len(y), len(names)
     share = np.bincount(y, minlength=grades)
     weight = (n / (np.maximum(share, 1) * max((share > 0).sum(), 1)))[y] / n
     mean = x.mean(0)
@@ -102,7 +104,7 @@ def fit(x: np.ndarray, y: np.ndarray, grades: int, penalty: float = 2e-4, steps:
         np.add.at(gc, np.maximum(y - 1, 0), np.where(y > 0, weight * dl / p, 0))
         vw, vc = momentum * vw - rate * gw, momentum * vc - rate * gc
         w, cut = w + vw, np.sort(cut + vc)
-    return Model(w.astype(np.float64), cut + float(mean @ w))
+    return Model(w.astype(np.float64), cut + float(mean @ w), names)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_grade: int = SAMPLE_PER_GRADE) -> Model | None:
@@ -120,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     if len(np.unique(y)) < 2:
         return None
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(len(y), DIMS)
-    return fit(x, y, int(y.max()) + 1)
+    return fit(x, y)
 
 
 def grade(df: DataFrame, model: Model | None, text_col: str = "text", wanted: int = 1, least: float = 0.25) -> DataFrame:
@@ -139,8 +141,11 @@ def grade(df: DataFrame, model: Model | None, text_col: str = "text", wanted: in
                 tails = model.tails(features(data, offsets))
                 full = np.diff(offsets) > 0
                 tails[~full] = 0
-                tail = tails[:, min(wanted, tails.shape[1]) - 1]
-                cols = [pa.array(tails.sum(1)), pa.array(tail), pa.array((tail >= least) & full)]
+                # P(grade >= wanted): the first grade that is wanted; certain if even the least one is, 0 if none.
+                at = int(np.searchsorted(model.grades, wanted))
+                tail = full.astype(float) if at == 0 else tails[:, at - 1] if at < len(model.grades) else np.zeros(len(full))
+                expected = np.where(full, model.grades[0] + tails @ np.diff(model.grades), model.grades[0])
+                cols = [pa.array(expected.astype(np.float64)), pa.array(tail), pa.array((tail >= least) & full)]
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in keep] + cols, names=schema.names)
 
     return df.select(*keep).mapInArrow(run, schema)
