@@ -8,8 +8,11 @@ verified by weighted Jaccard similarity of their full shingle sets. A text with
 has one window for it, the whole text.
 
 Windows that hold no shingle of any item have similarity 0 to all and are passed over before they are
-fingerprinted; this loses nothing. The benchmark side is held by every task, so it is taken in parts of
-at most PART_BYTES of text, however large it is: each part is one more pass over the windows of a piece.
+fingerprinted; this loses nothing. In how many items a shingle stands is counted over the whole benchmark
+by Spark, in SLOTS hashed slots (shingles that share a slot share its count), so weights and similarities
+do not depend on how the benchmark is cut. The driver and every task hold one part of it at a time, of at
+most PART_BYTES of text (one item at least): each further part is one more pass over the table, whose
+result is written to the shared folder.
 
 Defined results: words are split at ASCII white space after lower-casing A-Z; null or empty texts and
 items match nothing; items under five words are matched as whole sequences; repeated items match alike,
@@ -24,12 +27,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textarrays as ta
-from tidemark.llm.cluster import ship
+from tidemark.llm.cluster import Scratch, ship
 from tidemark.llm.tables import HashTable
 
 K = 5
@@ -38,6 +42,7 @@ BLOCKS = 8
 SIMILARITY = 0.8
 PART_BYTES = 16 << 20
 PAIRS = 1 << 22
+SLOTS = 1 << 20
 
 _BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _NEAR = np.flatnonzero(np.bitwise_count(np.arange(256)) <= 2)
@@ -59,6 +64,11 @@ def _fingerprints(hashes: np.ndarray, weights: np.ndarray, begin: np.ndarray, co
     return out
 
 
+def _weights(shingles: np.ndarray, slots: np.ndarray, n: int) -> np.ndarray:
+    """log(1 + n / df): the rarer a shingle is in the benchmark, the more it weighs."""
+    return np.log1p(n / np.maximum(slots[(shingles & np.uint64(SLOTS - 1)).astype(np.int64)], 1))
+
+
 def _block_values(prints: np.ndarray) -> np.ndarray:
     """Blocks x fingerprints, each value tagged with its block."""
     return np.stack([((prints >> np.uint64(8 * b)) & np.uint64(255)) | np.uint64(b << 8) for b in range(BLOCKS)]).astype(np.int64)
@@ -85,22 +95,20 @@ class Part:
     sets: list[dict[int, float]]
     totals: np.ndarray
     known: HashTable
-    weight: np.ndarray
-    unknown: float
+    slots: np.ndarray
+    n: int
     lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # words: items, fingerprints, sorted keys, their items
 
     @staticmethod
-    def build(ids: list[int], texts: list[str]) -> Part:
+    def build(ids: list[int], texts: list[str], slots: np.ndarray, n: int) -> Part:
+        """slots: in how many of the benchmark's n items the shingles of each slot stand."""
         word, first = _words(pa.array(texts, pa.string()))
         n_words = np.diff(first)
         shingle, bounds = ta.shingles(word, first, K)
-        n = len(ids)
-        pairs = np.unique(np.stack([shingle, np.repeat(np.arange(n), np.diff(bounds)).astype(np.uint64)]), axis=1)
-        keys, df = np.unique(pairs[0], return_counts=True)
-        weight = np.log1p(n / df)
+        keys = np.unique(shingle)
         known = HashTable(max(len(keys), 1))
         known.insert(keys, np.arange(len(keys)))
-        of = weight[np.searchsorted(keys, shingle)] if len(keys) else np.zeros(0)
+        of = _weights(shingle, slots, n)
         prints = _fingerprints(shingle, of, bounds[:-1], np.diff(bounds))
         sets = [dict(zip(shingle[a:b].tolist(), of[a:b].tolist(), strict=True)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         lengths = {}
@@ -111,7 +119,7 @@ class Part:
             owner = np.broadcast_to(np.arange(len(items))[None, :, None], near.shape)
             order = np.argsort(near.ravel(), kind="stable")
             lengths[size] = (items, prints[items], near.ravel()[order], owner.ravel()[order])
-        return Part(list(ids), sets, np.array([sum(s.values()) for s in sets]), known, weight, float(np.log1p(n)), lengths)
+        return Part(list(ids), sets, np.array([sum(s.values()) for s in sets]), known, slots, n, lengths)
 
     def matches(self, word: np.ndarray, first: np.ndarray, least: float, radius: int) -> list[tuple[int, int, int, int, float]]:
         """(document, item, first word, words, similarity) of each document's best window for each item it holds."""
@@ -145,7 +153,7 @@ class Part:
             np.add.at(near, np.minimum(hits + span, bounds[doc_of_hit + 1]), -1)
             held = np.flatnonzero(np.cumsum(near[:-1]) > 0)
             h, r = shingle[held], row[held]
-            w = np.where(r >= 0, self.weight[r], self.unknown)
+            w = _weights(h, self.slots, self.n)
             doc = np.searchsorted(bounds, held, "right") - 1
             seen = np.concatenate([[0], np.cumsum(r >= 0)])
             inside, opens = np.unique(doc, return_index=True)  # a text shorter than the longest item is held whole
@@ -184,43 +192,75 @@ class Part:
         return [(d, self.item_ids[i], at, size, -sim) for (d, i), (sim, at, size) in sorted(best.items())]
 
 
-def load_parts(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> list[list[tuple[int, str]]]:
-    """The benchmark's rows in parts of at most part_bytes of text each (one item at least)."""
-    parts: list[list[tuple[int, str]]] = []
-    room = 0
-    for r in benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("long"), text_col).orderBy(item_col).toLocalIterator():
-        if not parts or room < len(r[1]):
-            parts.append([])
-            room = part_bytes
-        parts[-1].append((r[0], r[1]))
-        room -= len(r[1])
-    return parts
+def count_shingles(items: DataFrame) -> np.ndarray:
+    """For each slot, in how many items (row, text) a shingle of it stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in ta.pieces(batch, "text"):
+                shingle, bounds = ta.shingles(*_words(piece.column("text")), K)
+                slot = (shingle & np.uint64(SLOTS - 1)).astype(np.int64)
+                pair = np.unique(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * SLOTS + slot)
+                slot, count = np.unique(pair % SLOTS, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(count.astype(np.int64))], names=["slot", "n"])
+
+    got = items.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    slots = np.zeros(SLOTS, np.uint32)
+    slots[np.asarray(got["slot"])] = np.asarray(got["n"])
+    return slots
+
+
+def load_parts(items: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of the items in parts of at most part_bytes of text each (one item at least), one at a time."""
+    ids, texts, room = [], [], part_bytes
+    for r in items.orderBy("item", "text").toLocalIterator():
+        if ids and room < len(r["text"]):
+            yield ids, texts
+            ids, texts, room = [], [], part_bytes
+        ids.append(r["item"])
+        texts.append(r["text"])
+        room -= len(r["text"])
+    if ids:
+        yield ids, texts
 
 
 MATCHES = "array<struct<item_id: bigint, first_word: int, words: int, similarity: double>>"
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def find_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", least: float = SIMILARITY, radius: int = RADIUS, part_bytes: int = PART_BYTES) -> DataFrame:
     """df with contamination: the benchmark items that each text holds, with the best window's place and similarity."""
     spark = df.sparkSession
     ship(spark)
+    scratch = Scratch(spark, "decontaminate")
     keep = [c for c in df.columns if c != "contamination"]
-    parts = [spark.sparkContext.broadcast(p) for p in load_parts(benchmark)]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("contamination", T._parse_datatype_string(MATCHES))])
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item"), "text")
+    n, slots = items.count(), spark.sparkContext.broadcast(count_shingles(items))
+    found = df.select(*keep).withColumn("contamination", F.array().cast(MATCHES))
+    before = None
+    for k, part in enumerate(load_parts(items, part_bytes)):
+        if before is not None:  # the last part's pass ends here, so that no task holds two parts
+            found = scratch.save(found, f"pass-{k}")
+            before.destroy()
+        before = spark.sparkContext.broadcast(part)
+        found = _search(found, before, slots, n, keep, text_col, least, radius)
+    return found
+
+
+def _search(df: DataFrame, part: Broadcast, slots: Broadcast, n: int, keep: list[str], text_col: str, least: float, radius: int) -> DataFrame:
+    """df with the matches of one part added to its column contamination."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("words", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = [Part.build(*zip(*p.value, strict=True)) for p in parts]
+        built = Part.build(*part.value, slots.value, n)
         for batch in batches:
             for piece in ta.pieces(batch, text_col):
                 word, first = _words(piece.column(text_col))
-                found: list[list[dict]] = [[] for _ in range(len(first) - 1)]
-                for part in built:
-                    for d, item, at, size, sim in part.matches(word, first, least, radius):
-                        found[d].append({"item_id": item, "first_word": at, "words": size, "similarity": sim})
+                found = piece.column("contamination").to_pylist()
+                for d, item, at, size, sim in built.matches(word, first, least, radius):
+                    found[d].append({"item_id": item, "first_word": at, "words": size, "similarity": sim})
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in keep] + [pa.array(found, kind)], names=[*keep, "contamination"])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([df.schema[c] for c in [*keep, "contamination"]]))
 
 
 def contamination_report(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
