@@ -6,7 +6,8 @@ they become an interpolated Kneser-Ney model (absolute discount, continuation co
 four), stored as arrays sorted by key. All languages' log-probabilities of the four-grams that occur
 are merged into one sorted array, so scoring needs one binary search a character; four-grams unseen
 everywhere go through the models' own back-off. The language of least length-normalised cross-entropy
-wins; a posterior and a rejection flag are calibrated on a bounded sample of training documents.
+wins; a posterior and a rejection flag are calibrated on a bounded sample of training texts, under models
+that leave these texts out.
 
 Defined results: a null text or one without a letter is `und` with score 0; ties go to the language
 first in order; without training documents everything is `und`; equal texts get equal results; whole
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textarrays as ta
-from tidemark.llm.cluster import ship
+from tidemark.llm.cluster import Scratch, ship
 from tidemark.llm.labelled import held_out
 
 ORDER = 4
@@ -155,60 +156,70 @@ class Identifier:
         return e / e.sum(1, keepdims=True)
 
 
-def _count(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, key, n): four-gram counts; each task adds up before it sends."""
+def _count(df: DataFrame, text_col: str, lang_col: str, held: set[int]) -> DataFrame:
+    """(lang, key, n, held): four-gram counts, and those of the calibration texts; each task adds up before it sends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        sums: dict[tuple[str, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def total(lang: str) -> tuple[np.ndarray, np.ndarray]:
-            keys, counts = (np.concatenate(x) for x in zip(*held[lang], strict=True))
+        def total(name: tuple[str, bool]) -> tuple[np.ndarray, np.ndarray]:
+            keys, counts = (np.concatenate(x) for x in zip(*sums[name], strict=True))
             return _sum_by_key(keys, counts)
 
         for batch in batches:
             for piece in ta.pieces(batch, text_col):
                 key, bounds, _ = fourgrams(*ta.flat(piece.column(text_col)))
+                apart = np.array([h in held for h in piece.column("h").to_pylist()], bool)
                 names, code = np.unique(np.array(piece.column(lang_col).to_pylist(), dtype=object).astype(str), return_inverse=True)
-                owner = np.repeat(code, np.diff(bounds))
-                for i, lang in enumerate(names.tolist()):
-                    held.setdefault(lang, []).append(np.unique(key[owner == i], return_counts=True))
-                    if sum(len(k) for k, _ in held[lang]) > 1 << 20 and len(held[lang]) > 1:
-                        held[lang] = [total(lang)]
-        for lang in held:
-            keys, counts = total(lang)
+                owner = np.repeat(code * 2 + apart, np.diff(bounds))
+                for i in np.unique(owner).tolist():
+                    name = (names[i // 2], bool(i % 2))
+                    sums.setdefault(name, []).append(np.unique(key[owner == i], return_counts=True))
+                    if sum(len(k) for k, _ in sums[name]) > 1 << 20 and len(sums[name]) > 1:
+                        sums[name] = [total(name)]
+        for lang, apart in sums:
+            keys, counts = total((lang, apart))
             for at in range(0, len(keys), 1 << 16):
                 k = keys[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.view(np.int64)), pa.array(counts[at : at + len(k)].astype(np.int64))], names=["lang", "key", "n"])
+                n = pa.array(counts[at : at + len(k)].astype(np.int64))
+                none = pa.array(np.zeros(len(k), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.view(np.int64)), n, n if apart else none], names=["lang", "key", "n", "held"])
 
-    return df.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(run, "lang string, key long, n long, held long").groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Identifier | None:
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", calibration: int = CALIBRATION_DOCS) -> Identifier | None:
     """Count over all rows with text and language, then build the models; None without such rows.
 
     All counts are kept, whatever their number; the driver gathers one language at a time. The models are
-    held by the driver and every worker and grow with the number of different four-grams.
+    held by the driver and every worker and grow with the number of different four-grams. Sharpness and
+    limits of rejection are fitted on at most `calibration` different texts (least hash first) under
+    models that have not counted them; the models returned have counted all.
     """
-    ship(df.sparkSession)
-    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col)
-    counts = _count(rows, text_col, lang_col).persist()
-    models = {}
+    spark = df.sparkSession
+    ship(spark)
+    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col, F.xxhash64(text_col, lang_col).alias("h"))
+    held = {r["h"] for r in rows.select("h").distinct().orderBy("h").limit(calibration).collect()}
+    counts = Scratch(spark, "langid").save(_count(rows, text_col, lang_col, held), "counts")
+    every, known = {}, {}
     for lang in sorted(r["lang"] for r in counts.select("lang").distinct().collect()):
-        got = counts.where(F.col("lang") == lang).select("key", "n").toArrow()
-        keys, n = np.asarray(got["key"]).view(np.uint64), np.asarray(got["n"])
+        got = counts.where(F.col("lang") == lang).select("key", "n", "held").toArrow()
+        keys, n, apart = np.asarray(got["key"]).view(np.uint64), np.asarray(got["n"]), np.asarray(got["held"])
         order = np.argsort(keys)
-        models[lang] = CharModel.build(keys[order], n[order])
-    counts.unpersist()
-    return calibrate(Identifier.build(models), df, text_col, lang_col) if models else None
-
+        keys, n, apart = keys[order], n[order], apart[order]
+        every[lang] = CharModel.build(keys, n)
+        if (n > apart).any():
+            known[lang] = CharModel.build(keys[n > apart], (n - apart)[n > apart])
+    if not every:
+        return None
+    model = Identifier.build(every)
+    return _with(model, *calibrated(Identifier.build(known), rows, text_col, lang_col, held, model.languages)) if known else model
 
-def calibrate(model: Identifier, df: DataFrame, text_col: str, lang_col: str, rows: int = CALIBRATION_DOCS) -> Identifier:
-    """Sharpness of the posterior by likelihood, and per language the entropy beyond which a text is rejected.
 
-    Uses at most `rows` training documents, least text hash first.
-    """
-    ids = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.xxhash64(text_col, lang_col).alias("h")).orderBy("h").limit(rows)
-    ids = F.broadcast(ids.distinct())
+def calibrated(model: Identifier, rows: DataFrame, text_col: str, lang_col: str, held: set[int], languages: list[str]) -> tuple[float, np.ndarray | None]:
+    """Sharpness of the posterior by likelihood, and per language the entropy beyond which a text is rejected."""
+    chosen = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in held], "h long"))
+    one = rows.join(chosen, "h", "left_semi").dropDuplicates(["h"]).select(text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,18 +228,17 @@ def calibrate(model: Identifier, df: DataFrame, text_col: str, lang_col: str, ro
                 lists = pa.array([e.tolist() if ok else None for e, ok in zip(entropy, letters, strict=True)], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([piece.column(lang_col), lists], names=["lang", "e"])
 
-    sampled = df.withColumn("h", F.xxhash64(text_col, lang_col)).join(ids, "h", "left_semi").select(text_col, F.col(lang_col).alias(lang_col))
-    got = sampled.mapInArrow(run, "lang string, e array<double>").where("e is not null").toArrow()
+    got = one.mapInArrow(run, "lang string, e array<double>").where(F.col("e").isNotNull() & F.col("lang").isin(model.languages)).toArrow()
+    limits = np.full(len(languages), np.inf)
     if not len(got):
-        return model
+        return 8.0, None
     entropy = np.array(got["e"].to_pylist())
     true = np.array([model.languages.index(x) for x in got["lang"].to_pylist()])
     best = max(2.0 ** np.arange(0, 8), key=lambda s: float(np.log(np.maximum(_with(model, s).posterior(entropy)[np.arange(len(true)), true], 1e-9)).sum() - 0.01 * s))
-    limits = np.full(len(model.languages), np.inf)
-    for i in range(len(limits)):
+    for i, name in enumerate(model.languages):
         if (own := entropy[true == i, i]).size >= 20:
-            limits[i] = np.quantile(own, 0.999) + 2 * own.std()
-    return _with(model, best, limits)
+            limits[languages.index(name)] = np.quantile(own, 0.999) + 2 * own.std()
+    return best, limits
 
 
 def _with(model: Identifier, sharpness: float, limits: np.ndarray | None = None) -> Identifier:
