@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.cluster import Scratch, ship
 
 SAMPLE = 16384
-MAX_CELLS = 1024
+MAX_CELLS = SAMPLE // 4
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
 SLICE, CHUNK = 64, 1 << 15
@@ -100,29 +100,35 @@ def search_block(index: Index, cell: int, codes: np.ndarray, length: np.ndarray,
 
     Queries go in slices and exact cosines in chunks, so memory does not follow the size of the groups.
     """
-    if len(query_ids) > SLICE:
-        parts = [search_block(index, cell, codes, length, own, ids, vectors, query_ids[a : a + SLICE], queries[a : a + SLICE], keep) for a in range(0, len(query_ids), SLICE)]
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     dims = vectors.shape[1]
-    bits = np.unpackbits(codes, axis=1, count=dims).astype(np.float32) * 2 - 1
-    diff = unit(queries) - index.centroids[cell]
-    far = np.linalg.norm(diff, axis=1)
-    turned = ((diff / np.maximum(far, 1e-12)[:, None]) @ index.rotation).astype(np.float32)
-    estimate = (turned @ bits.T) / np.sqrt(dims) / np.maximum(own, 1e-6)
-    spread = np.sqrt(np.maximum(1 - own**2, 0)) / np.maximum(own, 1e-6) / np.sqrt(max(dims - 1, 1))
-    scale = 2 * length[None, :] * far[:, None]
-    base = length[None, :] ** 2 + far[:, None] ** 2 - scale * estimate
-    slack = scale * SURE * spread
-    upper = base + slack
+    bits = (np.unpackbits(codes, axis=1, count=dims).astype(np.float32) * 2 - 1).T
+    exactly = unit(vectors)
+    inverse = 1 / np.maximum(own, 1e-6)
+    spread = SURE * np.sqrt(np.maximum(1 - own**2, 0)) * inverse / np.sqrt(max(dims - 1, 1))
+    gain, reach_of, square = ((2 * length * inverse / np.sqrt(dims)).astype(np.float32), (2 * length * spread).astype(np.float32), (length**2).astype(np.float32))
     k = min(keep, len(ids))
-    reach = np.partition(upper, k - 1, axis=1)[:, k - 1 : k]
-    q, c = np.nonzero(base - slack <= reach + 1e-9)
-    exact = np.concatenate([_cosines(vectors[c[a : a + CHUNK]], queries[q[a : a + CHUNK]]) for a in range(0, len(q), CHUNK)])
-    order = np.lexsort((ids[c], -exact, q))
-    q, c, exact = q[order], c[order], exact[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    best = place < keep
-    return query_ids[q[best]], ids[c[best]], exact[best]
+    parts = []
+    for a in range(0, len(query_ids), SLICE):
+        q = unit(queries[a : a + SLICE])
+        diff = q - index.centroids[cell]
+        far = np.linalg.norm(diff, axis=1).astype(np.float32)[:, None]
+        turned = (diff @ index.rotation).astype(np.float32)  # |diff| times the unit direction
+        middle = square - (turned @ bits) * gain
+        slack = far * reach_of
+        reach = np.partition(middle + slack, k - 1, axis=1)[:, k - 1 : k]
+        may = middle - slack <= reach + 1e-5
+        # Reranking: inner products of the vectors that any of these queries still needs, then exact ones of the best.
+        some = np.flatnonzero(may.any(0))
+        score = np.where(may[:, some], q @ exactly[some].T, -2.0)
+        least = np.partition(score, len(some) - k, axis=1)[:, len(some) - k : len(some) - k + 1]
+        row, col = np.nonzero(score >= np.maximum(least - 1e-9, -1.5))
+        col = some[col]
+        exact = np.concatenate([_cosines(vectors[col[i : i + CHUNK]], queries[a + row[i : i + CHUNK]]) for i in range(0, len(row), CHUNK)])
+        order = np.lexsort((ids[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < keep
+        parts.append((query_ids[a + row[best]], ids[col[best]], exact[best]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _valid(column: str, dims: int | None = None) -> Column:
