@@ -1,10 +1,13 @@
 """Toxic passages: maximum-scoring segments over token log-odds with extreme-value calibration.
 
 Token scores are log-odds of toxic against clean text under an informative Dirichlet prior (the pooled
-counts, scaled), taken for whole words and for their prefixes, where the z-score is significant; every
-other token has a small negative score. One linear scan finds all maximal scoring segments. A segment's
-score becomes a surprise, lambda * S - log(K * n), by the extreme-value law of maximal segments under
-the clean token distribution; the surprises of the significant segments are aggregated per document
+counts, scaled), taken for whole words and for their prefixes. A word's evidence is the largest of its
+features' log-odds that are significant by z-score; without one it keeps its own log-odds where these
+speak for clean text, and 0 where they are unknown or not significant. COST is taken off every word, so
+that passages stay local. One linear scan finds all maximal scoring segments. A segment's score becomes
+a surprise, lambda * S - log(K * n), by the extreme-value law of maximal segments: lambda solves
+E[exp(lambda * score)] = 1 over the words of the clean sample, and K has its greatest likelihood given
+the clean texts' largest segments. The surprises of the significant segments are aggregated per document
 and mapped to a probability by a logistic curve fitted on the training sample.
 
 Fitting uses a bounded sample: at most SAMPLE_PER_CLASS labelled documents of either class.
@@ -17,7 +20,7 @@ rows; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ PREFIXES = (4, 5, 6)
 PRIOR_SHARE = 0.1  # of the pooled counts
 MIN_Z = 2.5
 MIN_DOCS = 4
-BACKGROUND = -0.4
+COST = 0.4
 
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = False
@@ -55,12 +58,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Significant features and the constants of the calibration."""
+    """Features with their log-odds (significant ones for toxic text, all for clean text) and the constants of the calibration."""
 
     keys: np.ndarray
     scores: np.ndarray
-    lam: float
-    k: float
+    lam: float = 1.0
+    k: float = 0.1
     slope: float = 0.0
     offset: float = 0.0
 
@@ -70,26 +73,22 @@ class Lexicon:
         return t
 
     def token_scores(self, table: HashTable, rows: np.ndarray) -> np.ndarray:
-        """The largest significant log-odds among each word's features, else the background."""
-        best = np.full(rows.shape[1], -np.inf)
-        for r in rows:
+        """Each word's evidence less COST; rows holds the features of the words, whole words first."""
+        best = np.zeros(rows.shape[1])
+        for i, r in enumerate(rows):
             at = table.lookup(r)
-            best = np.where((at >= 0) & (r != 0), np.maximum(best, self.scores[at] if len(self.scores) else 0), best)
-        return np.where(np.isfinite(best), best, BACKGROUND)
-
-
-def maximal_segments(scores: list[float], places: list[int], background: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last, score), in one pass, of a sequence that is `background` but at places."""
-    stack: list[list[float]] = []  # left total, right total, first, last
-    total, before = 0.0, 0
-    for s, p in zip(scores, places, strict=True):
-        total += background * (p - before)
-        before = p + 1
-        if s <= 0:
-            total += s
-            continue
-        seg = [total, total + s, p, p]
-        total += s
+            own = np.where((at >= 0) & (r != 0), self.scores[at] if len(self.scores) else 0.0, 0.0)
+            best = own if i == 0 else np.where(own > 0, np.maximum(best, own), best)
+        return best - COST
+
+
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first, last, score) of a sequence, in one pass over its positive scores."""
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    at = np.flatnonzero(scores > 0)
+    stack: list[tuple[float, float, int, int]] = []  # total before and after, first, last
+    for left, right, p in zip(sums[at].tolist(), sums[at + 1].tolist(), at.tolist(), strict=True):
+        seg = (left, right, p, p)
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][0] >= seg[0]:
@@ -97,23 +96,21 @@ def maximal_segments(scores: list[float], places: list[int], background: float)
             if j < 0 or stack[j][1] >= seg[1]:
                 stack.append(seg)
                 break
-            seg = [stack[j][0], seg[1], stack[j][2], seg[3]]
+            seg = (stack[j][0], seg[1], stack[j][2], seg[3])
             del stack[j:]
-    return [(int(a), int(b), right - left) for left, right, a, b in stack]
+    return [(a, b, right - left) for left, right, a, b in stack]
 
 
 def _passages(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon, table: HashTable) -> list[tuple[float, list[tuple[int, int, float]]]]:
     """Per document: evidence, and significant passages (byte begin, byte end, surprise)."""
     rows, start, end, first = tokens(data, offsets)
     score = lexicon.token_scores(table, rows)
-    odd = np.flatnonzero(score != BACKGROUND)
-    bounds = np.searchsorted(odd, first)
+    odd = np.concatenate([[0], np.cumsum(score > 0)])[first]
     out = []
     for d in range(len(offsets) - 1):
-        at = odd[bounds[d] : bounds[d + 1]]
         found, evidence, n = [], 0.0, max(int(first[d + 1] - first[d]), 1)
-        if len(at):
-            for a, b, s in maximal_segments(score[at].tolist(), (at - first[d]).tolist(), BACKGROUND):
+        if odd[d + 1] > odd[d]:
+            for a, b, s in maximal_segments(score[first[d] : first[d + 1]]):
                 surprise = lexicon.lam * s - float(np.log(lexicon.k * n))
                 if surprise > 0:
                     evidence += surprise
@@ -160,6 +157,30 @@ def _tail_law(scores: np.ndarray, weights: np.ndarray) -> float:
     return min(max(high, 0.05), 8.0)
 
 
+def extreme_values(lexicon: Lexicon, clean: DataFrame) -> Lexicon:
+    """lexicon with lambda and K of the clean texts: exact words' scores, and P(S >= x) = 1 - exp(-K n exp(-lambda x))."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = lexicon.table()
+        for batch in batches:
+            for piece in ta.pieces(batch, "text"):
+                rows, _, _, first = tokens(*ta.flat(piece.column("text")))
+                score = lexicon.token_scores(table, rows)
+                best = [max((s for _, _, s in maximal_segments(score[a:b])), default=0.0) for a, b in zip(first[:-1], first[1:], strict=True)]
+                value, count = np.unique(np.round(score, 2), return_counts=True)
+                cols = [np.concatenate(x) for x in ((np.zeros(len(value), np.int32), np.ones(len(best), np.int32)), (value, np.array(best, np.float64)), (count, np.diff(first)))]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int64))], names=["kind", "x", "n"])
+
+    found = clean.select("text").mapInArrow(run, "kind int, x double, n long").groupBy("kind", "x").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    got = found.toArrow().sort_by([("kind", "ascending"), ("x", "ascending")])
+    kind, x, n = (np.asarray(got[c]) for c in ("kind", "x", "n"))
+    words, texts = kind == 0, kind == 1
+    lam = _tail_law(x[words], n[words] / max(n[words].sum(), 1))
+    mass = float((n[texts] * np.exp(-lam * x[texts])).sum())
+    count = float(np.asarray(got["rows"])[texts].sum())
+    return replace(lexicon, lam=lam, k=min(max(count / mass, 1e-9), 1.0) if mass else 0.1)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_PER_CLASS) -> Lexicon | None:
     """Fit lexicon and calibration on a bounded sample of the given labels; None without both classes."""
     ship(docs.sparkSession)
@@ -175,13 +196,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     mass = (n1 + n0) * PRIOR_SHARE
     delta = F.log(y1 / (n1 + mass - y1)) - F.log(y0 / (n0 + mass - y0))
     scored = counts.where((F.col("feature") != 0) & (F.col("pos") + F.col("neg") >= MIN_DOCS)).withColumns({"score": delta, "z": delta / F.sqrt(1 / y1 + 1 / y0)})
-    # Significant features of a bounded sample are bounded by its size.
-    got = scored.where(F.col("z") >= MIN_Z).select("feature", "score", "neg").toArrow().sort_by("feature")
+    # The features of a bounded sample are bounded by its size.
+    got = scored.where((F.col("z") >= MIN_Z) | (F.col("score") < 0)).select("feature", "score").toArrow().sort_by("feature")
     counts.unpersist()
     keys, scores = np.asarray(got["feature"]).view(np.uint64), np.asarray(got["score"], dtype=np.float64)
-    p = (np.asarray(got["neg"]) + 0.5 / max(len(keys), 1)) / n0
-    lam = _tail_law(np.append(scores, BACKGROUND), np.append(p, max(1 - p.sum(), 0.5)))
-    lexicon = Lexicon(keys, scores, lam, 0.1)
+    lexicon = extreme_values(Lexicon(keys, scores), chosen.where("y <= 0"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = lexicon.table()
@@ -199,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
         g = np.array([((q - y) * x).sum() + 1e-2 * a, (q - y).sum() + 1e-2 * b])
         hess = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-2]])
         a, b = np.array([a, b]) - np.clip(np.linalg.solve(hess, g), -1, 1)
-    return Lexicon(keys, scores, lam, 0.1, float(a), float(b))
+    return replace(lexicon, slope=float(a), offset=float(b))
 
 
 def find_toxic(df: DataFrame, lexicon: Lexicon | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
