@@ -1,11 +1,12 @@
 """Secret scanning: fixed patterns plus a token-efficiency test on long unbroken strings.
 
 A random string costs many tokens under a byte-level BPE vocabulary: few characters per token. Runs of
-key-like characters that hold letters, with or without digits, are encoded and reported (kind `random`)
-when their characters per token stay under a threshold, unless they are known identifiers: UUIDs, digests
-of the standard lengths (alone or behind a digest's name), or strings of plain words and dates. Letters are
-plain words if each segment of LONG_SEGMENT letters or more passes the threshold, and the
-shorter ones do together or are single tokens.
+MIN_RUN key-like characters or more that hold a letter are encoded and reported (kind `random`) when
+their characters per token stay within what random strings reach; that threshold is found by simulation
+under the vocabulary in use. Known identifiers are excluded: UUIDs, digests of the standard lengths
+(alone or behind a digest's name), and names, paths and versions, whose parts between separators are
+words, numbers or words with a number. Their letters must encode as words: each segment of LONG_SEGMENT
+letters or more passes the threshold, and the shorter ones do together or are single tokens.
 
 Defined results: a null or empty text has no spans; positions are code points, ends exclusive; equal
 texts give equal rows; texts of any length are scanned whole; further columns pass through untouched.
@@ -33,11 +34,12 @@ HEX = re.compile(r"[0-9a-f]+")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|sha(1|224|256|384|512)[-=][A-Za-z0-9+/=]+|md5[-=][A-Za-z0-9+/=]+")
-NAMES = re.compile(r"([A-Za-z]+|[0-9]{1,8})([_/=.+-]([A-Za-z]+|[0-9]{1,8}))*")
-DIGITS, LETTERS = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]+")
-MIN_RUN = 20
+PART = re.compile(r"[A-Za-z]*[0-9]{0,4}[A-Za-z]{0,2}|[0-9]{1,8}")
+BREAK, LETTERS = re.compile(r"[_/=+-]+"), re.compile(r"[A-Za-z]+")
+MIN_RUN = 16
 LONG_SEGMENT = 8
-MAX_RATIO = 2.2
+#: Share of random strings of MIN_RUN letters and digits, or letters alone, that the threshold lets through.
+LET_THROUGH = 0.001
 
 _RUN = np.zeros(256, bool)
 _RUN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
@@ -54,14 +56,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text) if len(m[0]) >= 16]
 
 
+def calibrated_ratio(vocab: Vocabulary, length: int = MIN_RUN, strings: int = 4000) -> float:
+    """The most characters per token that random strings of this length reach but for LET_THROUGH of them, by simulation."""
+    if (known := getattr(vocab, "random_ratio", None)) is not None:
+        return known
+    rng = np.random.default_rng(17)
+    letters = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    ratios = []
+    for size in (52, 62):
+        _, bounds = vocab.encode(letters[rng.integers(0, size, strings * length)], np.arange(strings + 1) * length)
+        ratios.append(np.quantile(length / np.diff(bounds), 1 - LET_THROUGH))
+    vocab.random_ratio = float(max(ratios))
+    return vocab.random_ratio
+
+
 def _long_runs(mask: np.ndarray, data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     start, end = ta.runs(mask[data], offsets)
     keep = end - start >= least
     return start[keep], end[keep]
 
 
-def random_runs(data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary, min_run: int = MIN_RUN, max_ratio: float = MAX_RATIO) -> tuple[np.ndarray, np.ndarray]:
+def random_runs(data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary, min_run: int = MIN_RUN, max_ratio: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of the unbroken runs that encode badly and are not known identifiers."""
+    max_ratio = calibrated_ratio(vocab) if max_ratio is None else max_ratio
     start, end = _long_runs(_RUN, data, offsets, min_run)
     letters = np.concatenate([[0], np.cumsum(_ALPHA[data])])
     keep = letters[end] > letters[start]
@@ -79,11 +96,11 @@ def random_runs(data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary, min_ru
 
 
 def _plain_words(runs: list[str], vocab: Vocabulary, max_ratio: float) -> list[bool]:
-    """Whether a run is a name (NAMES, or any run without digits) whose letter segments encode as words.
+    """Whether a run is a name (its parts between separators are words, numbers or words with a number) whose letters encode as words.
 
     Capitals encode badly, so segments of one case are lower-cased. Long ones are judged each, short ones together.
     """
-    named = [bool(NAMES.fullmatch(r)) or not DIGITS.search(r) for r in runs]
+    named = [all(PART.fullmatch(p) for p in BREAK.split(r)) for r in runs]
     parts = [LETTERS.findall(r) if n else [] for r, n in zip(runs, named, strict=True)]
     flat = [p for ps in parts for p in ps]
     if not flat:
