@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, license_scan, near_dedup, queries, secret_scan, substring_dedup
 
@@ -69,6 +70,21 @@ def test_near_duplicates(spark):
     assert got == want
 
 
+def test_hot_group_and_threshold(spark, monkeypatch):
+    """One group of near copies with a third of all rows, dealt over many copies of its pivot; a pair at exactly 85 %."""
+    monkeypatch.setattr(near_dedup, "SPREAD", 3)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(200)]
+    texts = [" ".join([*base[:i], word(), *base[i + 1 :]]) for i in range(5, 65)]
+    texts += [" ".join(word() for _ in range(50)) for _ in range(60)]
+    one = [word() for _ in range(41)]  # 37 shingles each, of which 34 are shared: 34 / 40
+    texts += [" ".join(one), " ".join([*one[:38], word(), word(), word()]), " ".join(base * 300)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+    want = brute_components(texts, list(range(len(texts))))
+    assert got == want and want[121][1] == 120 and len({want[i][1] for i in range(60)}) == 1
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
 
@@ -100,8 +116,8 @@ def test_secrets(spark):
     assert masked[7] == "key <secret> end" and masked[0] is None and masked[3] == SECRETS[3] and masked[2] == "é <secret>'"
 
 
-RANDOM_LETTERS = ["xKqZvTnWmRbLpHjGdFsQ", "xKqZvTnWmRbLpHjGdFsQ-12", "2024/xKqZvTnWmRbLpHjGdFsQ/report"]
-PLAIN = ["internationalization", "configuration_settings_default_values", "getElementByIdFromTheDocument", "report-2024-01-31-final-12", "/usr/local/share/documentation", "a-b-c-d-e-f-g-h-i-j-k-l"]
+RANDOM_LETTERS = ["Zq8xK2vTnWmR4bLp", "QwZrTkPxVbNmLsDf", "xKqZvTnWmRbLpHjGdFsQ", "xKqZvTnWmRbLpHjGdFsQ-12", "2024/xKqZvTnWmRbLpHjGdFsQ/report"]
+PLAIN = ["internationalization", "configuration_settings_default_values", "getElementByIdFromTheDocument", "report-2024-01-31-final-12", "/usr/local/share/documentation", "a-b-c-d-e-f-g-h-i-j-k-l", "/usr/lib/python3/dist-packages/numpy/core/x86_64-linux", "build-2024-x86_64-release-v1-2-3-rc4", "--yaml-roundtrip-files"]
 
 
 def test_random_letters(spark):
@@ -110,6 +126,23 @@ def test_random_letters(spark):
     assert masked == ["see <secret> here"] * len(RANDOM_LETTERS) + texts[len(RANDOM_LETTERS) :]
 
 
+def test_secrets_of_nothing(spark):
+    rows = docs(spark, SECRETS).withColumn("secrets", F.lit("clash"))
+    assert secret_scan.find_secrets(rows.limit(0), PATH).count() == 0
+    assert dict(secret_scan.find_secrets(rows, PATH).dtypes)["secrets"].startswith("array")
+
+
+def test_random_strings_are_found():
+    """Of random strings of any mixed alphabet and length from 16 on, nearly all are found; of words none."""
+    vocab = secret_scan.vocabulary(secret_scan.read_ranks(PATH))
+    rng = random.Random(4)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"):
+        for n in (16, 20, 33):
+            raw = "\n".join("".join(rng.choice(alphabet) for _ in range(n)) for _ in range(500)).encode()
+            start, _ = secret_scan.random_runs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), vocab)
+            assert len(start) >= 490
+
+
 def test_secret_query(spark, tiny):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     for r in queries.op3_secret_scan(spark, tiny).collect():
@@ -224,6 +257,23 @@ def test_contamination(spark):
     assert decontaminate.contamination_report(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_contamination_does_not_depend_on_parts(spark):
+    """Weights come from the whole benchmark: one part and one part per item give the same rows."""
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(30)]
+    items = [(i, " ".join(words[i : i + 20])) for i in range(8)] + [(3, " ".join(words[3:23]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(["x", "y", *words[a:b]]) for a, b in ((0, 20), (2, 25), (5, 30))] + [" ".join(words * 3000), ""]
+    rows = docs(spark, texts + texts[:1]).withColumn("contamination", F.lit("clash"))
+    key = lambda r: (r["doc_id"], r["item_id"], r["first_word"], r["words"], round(r["similarity"], 12))
+    out = []
+    for size in (1, 16 << 20):
+        found = decontaminate.find_contamination(rows, bench, part_bytes=size).select("doc_id", F.explode("contamination").alias("m")).select("doc_id", "m.*")
+        out.append(Counter(key(r) for r in found.collect()))
+    assert out[0] == out[1] and sum(out[0].values()) > 20
+    assert Counter(k[1:] for k in out[0].elements() if k[0] == 0) == Counter(k[1:] for k in out[0].elements() if k[0] == 5)
+
+
 def test_contamination_of_texts_shorter_than_the_item(spark):
     rng = random.Random(11)
     words = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(60)]
@@ -248,7 +298,10 @@ def test_contamination_at_the_threshold():
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     items = [[word() for _ in range(60)] for _ in range(600)]
-    part = decontaminate.Part.build(list(range(600)), [" ".join(t) for t in items])
+    bodies = [" ".join(t) for t in items]
+    shingles = decontaminate.ta.shingles(*decontaminate._words(pa.array(bodies)), decontaminate.K)[0]
+    slots = np.bincount((shingles % np.uint64(decontaminate.SLOTS)).astype(np.int64), minlength=decontaminate.SLOTS)
+    part = decontaminate.Part.build(list(range(600)), bodies, slots, 600)
     texts = [" ".join([*t[:30], word(), *t[31:59], word()]) for t in items]
     hits = part.matches(*decontaminate._words(pa.array(texts)), 0.8, decontaminate.RADIUS)
     assert [(d, i) for d, i, *_ in hits] == [(d, d) for d in range(600)]

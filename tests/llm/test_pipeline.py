@@ -32,3 +32,20 @@ def test_stages(spark, tiny):
             text = enc.decode(got[i])
             assert "<secret>" in text and not brute_spans(text)
     assert len(rows) < docs.count() and len(cp.STAGES) == 5
+
+
+def test_odd_rows(spark, tiny):
+    """Nulls, empty and long texts, repeated rows and ids, further columns: each stage has a defined result."""
+    text = "A calm plain sentence about rivers and hills in the north. " * 4
+    rows = [(1, text, None, None, None), (1, text, "en", "a", 5), (2, text, "en", "a", 5), (3, None, "en", "a", 0), (4, "", "en", "a", 0), (5, "other words entirely here now " * 4, "en", None, 9), (5, text, "en", "b", 1), (6, "many different words " + " ".join(f"w{i}" for i in range(20000)), "en", "a", 1)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept int, contamination string")
+    near = cp.drop_near_duplicates(spark, docs, tiny)
+    got = sorted((r["doc_id"], r["text"]) for r in near.collect() if r["text"])
+    assert near.columns == cp.COLUMNS and [i for i, _ in got] == [1, 5, 6] and got[1][1] == text
+    assert sorted(r["doc_id"] for r in near.collect() if not r["text"]) == [3, 4]
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs.limit(0), tiny)
+        assert out.count() == 0 and (name == "bpe" or out.columns == cp.COLUMNS)
+    for name, stage in cp.STAGES[2:]:
+        assert stage(spark, docs, tiny).count() == len(rows)
+    assert {r["doc_id"] for r in cp.keep_quality(spark, docs, tiny).collect()} <= {1, 2, 5, 6}
