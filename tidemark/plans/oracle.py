@@ -46,6 +46,10 @@ CTE: dict[str, str] = {
 }
 
 
+#: Expressions that DuckDB is to evaluate once, before what reads them.
+STORED = {"famed", "blocked", "worded", "parted", "rated", "ipairs", "scored"}
+
+
 def with_(body: str) -> str:
     """The body with exactly the expressions that it needs before it, in order."""
     needed: list[str] = []
@@ -58,4 +62,4 @@ def with_(body: str) -> str:
                     needed.append(name)
 
     visit(body)
-    return ("WITH " + ", ".join(f"{n} AS ({CTE[n]})" for n in needed) + " " if needed else "") + body
+    return ("WITH " + ", ".join(f"{n} AS {'MATERIALIZED ' if n in STORED else ''}({CTE[n]})" for n in needed) + " " if needed else "") + body

@@ -35,7 +35,7 @@ def titles(s, d):
     pick = lambda n, step, xs: F.element_at(F.array(*map(F.lit, xs)), (F.floor(F.col("p_partkey") / step) % n + 1).cast("int"))
     cols = {k: pick(*v) for k, v in LISTS.items()}
     part = src.table(s, d, "part").select("p_partkey", "p_retailprice", *(c.alias(k) for k, c in cols.items()))
-    return part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "b", "m", "c", "s", "w").alias("title"), F.concat_ws(" ", "f", "b", "m", "s").alias("post"), *[k for k in LISTS if len(k) > 1], F.round(F.col("p_retailprice") * 100).cast("long").alias("price_cents"))
+    return part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "b", "m", "c", "s", "w").alias("title"), F.concat_ws(" ", "f", "b", "m", "s").alias("post"), *[k for k in LISTS if len(k) > 1], F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("https://shop.example/item/"), F.col("p_partkey").cast("string"))).alias("listing_url"), F.round(F.col("p_retailprice") * 100).cast("long").alias("price_cents"))
 
 
 def normalized(s, d):
@@ -131,7 +131,7 @@ _PAD = "' ' || regexp_replace(lower(post), '[^a-z0-9()$é ]', ' ', 'g') || ' '"
 _YEAR = r"TRY_CAST(nullif(regexp_extract({0}, '\b(19[89][0-9]|20[0-3][0-9])\b', 1), '') AS INTEGER)"
 
 CTE.update({
-    "titles": "SELECT p_partkey AS id, b || ' ' || m || ' ' || c || ' ' || s || ' ' || w AS title, f || ' ' || b || ' ' || m || ' ' || s AS post, brand_field, price_text, size_text, condition_text, date_text, tag, price_cents FROM (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS price_cents, " + ", ".join(f"{e} AS {k}" for k, e in _PICK.items()) + " FROM part)",
+    "titles": "SELECT p_partkey AS id, b || ' ' || m || ' ' || c || ' ' || s || ' ' || w AS title, f || ' ' || b || ' ' || m || ' ' || s AS post, brand_field, price_text, size_text, condition_text, date_text, tag, CASE WHEN p_partkey % 3 > 0 THEN 'https://shop.example/item/' || p_partkey END AS listing_url, price_cents FROM (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS price_cents, " + ", ".join(f"{e} AS {k}" for k, e in _PICK.items()) + " FROM part)",
     "branded": f"SELECT *, {_brand('brand_field', 'title')} AS brand, {_case([(' OR '.join(f'contains(lower(title), {_q(k)})' for k in ks), _q(n)) for n, ks in vocab.CATEGORIES])} AS category, coalesce({_season("coalesce(tag, '')")}, {_season('title')}) AS season FROM titles",
     "normed": f"SELECT *, CASE WHEN size_text <> '' THEN CASE WHEN category = 'footwear' THEN {_SHOES} ELSE {_CLOTHES} END END AS size_normalized, {_clean()} AS title_normalized FROM branded",
     "lined": f"SELECT *, {_line('brand', 'title_normalized')} AS model_line, coalesce(CASE WHEN season IS NOT NULL THEN CAST(season[3:4] AS INTEGER) + CASE WHEN CAST(season[3:4] AS INTEGER) < 90 THEN 2000 ELSE 1900 END END, {_YEAR.format('title')}) AS year, nullif(array_to_string(list_distinct_ordered[1:2], '/'), '') AS colorway FROM (SELECT *, list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(list_filter(string_split(title_normalized, ' '), lambda x: x IN ({', '.join(map(_q, vocab.COLOURS))})), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE a || b END) AS list_distinct_ordered FROM normed)",

@@ -13,10 +13,11 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application, unless their path has it already."""
+    """Send the package to the executors once per application, unless they share this machine and its path has it."""
     package = Path(__file__).resolve().parent
     app = spark.sparkContext.applicationId
-    if app in _shipped or str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    local = spark.sparkContext.master.startswith("local[")
+    if app in _shipped or local and str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     archive = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
     with zipfile.ZipFile(archive, "w") as z:
