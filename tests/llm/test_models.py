@@ -173,7 +173,7 @@ def test_toxicity_query(spark, tiny):
 
 def test_toxicity_of_odd_rows(spark):
     """Repeated rows and ties score alike, a long text is read to its end, clashing columns are ignored; K and lambda by brute force."""
-    texts = [(i, ("lovely green meadow calm water " * 3) + (f"vile scum garbage {i}" if i % 4 == 0 else "under the sky")) for i in range(120)]
+    texts = [(i, ("lovely green meadow calm water " * 3) + (f"vile scum garbage {i}" if i % 4 == 0 else "under the vile sky" if i % 20 == 1 else "under the sky")) for i in range(120)]
     rows = spark.createDataFrame([(i, t, 0.5) for i, t in [*texts, (0, texts[0][1]), (500, "calm water " * 60000 + "vile scum garbage " * 9), (501, None)]], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
     lexicon = toxicity.train(rows, labels)
