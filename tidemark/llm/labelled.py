@@ -26,7 +26,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_co
     kinds = y.select("y").distinct().limit(MAX_LABELS + 1).count()
     if kinds > MAX_LABELS:
         raise ValueError(f"{label} has over {MAX_LABELS} different values")
-    there = y.join(texts.select("id"), "id", "left_semi")
-    first = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = there.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_class).select("id", "y")
+    h = F.xxhash64("id")
+    there = y.join(texts.select("id"), "id", "left_semi").withColumn("slice", F.shiftright(h, 52))
+    # Counts of 4,096 slices of the hash say which of them hold the first rows; only these rows are ranked.
+    before = F.sum("n").over(Window.partitionBy("y").orderBy("slice")) - F.col("n")
+    slices = there.groupBy("y", "slice").agg(F.count("*").alias("n")).withColumn("before", before).where(F.col("before") < per_class)
+    first = Window.partitionBy("y").orderBy(h, "id")
+    ranked = there.join(F.broadcast(slices.select("y", "slice")), ["y", "slice"]).withColumn("place", F.row_number().over(first))
+    chosen = ranked.where(F.col("place") <= per_class).select("id", "y")
     return texts.join(F.broadcast(chosen), "id")
