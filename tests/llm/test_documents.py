@@ -169,6 +169,7 @@ def brute_repeats(texts, length):
 @pytest.mark.parametrize("hot", [1500, 3])
 def test_repeated_substrings(spark, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", hot / 100)
     rng = random.Random(hot)
     rand = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     passages = [rand(n) for n in (390, 400, 401, 700)]

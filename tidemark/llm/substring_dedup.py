@@ -36,6 +36,8 @@ LENGTH = 400
 GRAM = 32
 HOT_SEGMENTS = 1500
 BLOCK_BYTES = 1 << 20
+#: Keys that may hold this share of all rows or more are at most its inverse, however large the input is.
+HOT_SHARE = 1 / 1000
 _POSITION = np.uint64((1 << 28) - 1)
 
 
@@ -197,6 +199,16 @@ def repeated_starts(bodies: list[bytes], copies: np.ndarray, length: int) -> lis
     return list(zip(seg.tolist(), (start - base[seg]).tolist(), (end - base[seg]).tolist(), strict=True))
 
 
+def _matches(rows: DataFrame, other: DataFrame, key: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join of rows with other on key; rows of the hot keys (a bounded number) stay where they are.
+
+    Only the other side's rows of hot keys are broadcast, so no task gathers a hot key.
+    """
+    hot = F.broadcast(hot)
+    few = F.broadcast(other.join(hot, key, "left_semi"))
+    return rows.join(few, key).unionByName(rows.join(hot, key, "left_anti").join(other.join(hot, key, "left_anti"), key))
+
+
 def _repeats(segs: DataFrame, length: int, tasks: int) -> DataFrame:
     """(mh, ch, s, e): runs of repeated window starts of the segments; groups stay whole within a task."""
     schema = "mh long, ch long, s int, e int"
@@ -248,10 +260,11 @@ def repeated_spans(df: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
     """
     spark = df.sparkSession
     places = scratch.save(_cut(df, length, gram), "places")
-    often = places.groupBy("mh").agg(F.count("*").alias("all")).where("all > 1").select("mh")
-    places = scratch.save(places.join(often, "mh"), "shared")
-    scratch.drop("places")
-    wanted = places.groupBy("mh", "ch", "size", "anchor").agg(F.count("*").alias("copies"), F.min(F.struct("id", "start")).alias("at"))
+    hot_rows = max(int(places.count() * HOT_SHARE), 1)
+    often = scratch.save(places.groupBy("mh").agg(F.count("*").alias("all")).where("all > 1"), "often")
+    places = scratch.save(_matches(places, often.select("mh"), ["mh"], often.where(F.col("all") > hot_rows).select("mh")), "shared")
+    scratch.drop("places", "often")
+    wanted = scratch.save(places.groupBy("mh", "ch", "size", "anchor").agg(F.count("*").alias("copies"), F.min(F.struct("id", "start")).alias("at")), "wanted")
     segs = scratch.save(_fetch(df, wanted, length).withColumns({"lo": F.lit(0), "hi": F.lit(length - gram)}), "segments-0")
     levels, level = [], 0
     while True:
@@ -274,7 +287,9 @@ def repeated_spans(df: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
     for found, halves in levels[-2::-1]:
         up = result.join(halves, ["mh", "ch"]).select(F.col("pm").alias("mh"), F.col("pc").alias("ch"), (F.col("s") + F.col("shift")).alias("s"), (F.col("e") + F.col("shift")).alias("e"))
         result = found.unionByName(up)
-    return places.join(result, ["mh", "ch"]).select("id", (F.col("start") + F.col("s")).alias("begin"), (F.col("start") + F.col("e") + (length - 1)).alias("end"))
+    # A segment's runs are disjoint, fewer than its windows (at most length - gram + 1), so hot ones are few too.
+    hot = wanted.groupBy("mh", "ch").agg(F.sum("copies").alias("all")).where(F.col("all") > hot_rows).select("mh", "ch")
+    return _matches(places, result.distinct(), ["mh", "ch"], hot).select("id", (F.col("start") + F.col("s")).alias("begin"), (F.col("start") + F.col("e") + (length - 1)).alias("end"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digests: bool = False) -> DataFrame:
