@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import decision, marts, resolution, text
+from tidemark.plans import decision, facts, marts, resolution, text
 
-MODULES = [marts, decision, text, resolution]
+MODULES = [marts, decision, text, resolution, facts]
 
 
 def queries() -> dict:

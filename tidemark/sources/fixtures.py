@@ -95,6 +95,20 @@ def retail(payload: DataFrame) -> DataFrame:
     return payload.where(F.length("product_name") > 0).select(d("source", "unknown"), "brand", "product_name", "price", "currency", "url", F.coalesce("in_stock", F.lit(True)).alias("in_stock"), d("date", ""))
 
 
+#: A shop's product listing.
+PRODUCT = "vendor string, title string, handle string, variants array<struct<price: string, available: boolean>>"
+
+
+def products(payload: DataFrame, shop: str, currency: str, day: str) -> DataFrame:
+    """Products of a shop's listing as retail records: the first variant's price, in stock if any variant is."""
+    first = F.get("variants", F.lit(0))["price"]
+    stocked = F.exists("variants", lambda v: F.coalesce(v["available"], F.lit(False)))
+    return payload.where(F.length("title") > 0).select(
+        F.lit(shop).alias("source"), F.col("vendor").alias("brand"), F.col("title").alias("product_name"), parse_money(first).alias("price"), F.lit(currency).alias("currency"),
+        F.concat(F.lit(f"https://{shop}/products/"), "handle").alias("url"), F.coalesce(stocked, F.lit(False)).alias("in_stock"), F.lit(day).alias("date"),
+    )
+
+
 def trends(payload: DataFrame) -> DataFrame:
     return payload.select("keyword", "date", F.col("interest").cast("int").alias("interest"))
 
