@@ -17,13 +17,16 @@ def bounds(sales: DataFrame, config: LabelConfig = LabelConfig()) -> tuple[datet
     span = sales.agg(F.min("sold_date").alias("lo"), F.max("sold_date").alias("hi")).first()
     if span["lo"] is None:
         raise ValueError("no sales")
-    return span["lo"] + datetime.timedelta(config.baseline_days), span["hi"] - datetime.timedelta(config.outcome_days)
+    first, last = span["lo"] + datetime.timedelta(config.baseline_days), span["hi"] - datetime.timedelta(config.outcome_days)
+    if first > last:
+        raise ValueError(f"sales from {span['lo']} to {span['hi']} cover no whole window on either side of a moment")
+    return first, last
 
 
 def moments(sales: DataFrame, config: LabelConfig = LabelConfig()) -> DataFrame:
     """Monthly prediction moments within the bounds: a few hundred rows at most."""
     first, last = bounds(sales, config)
-    months = sales.sparkSession.range(1).select(F.explode(F.sequence(F.trunc(F.lit(first), "month"), F.lit(max(first, last)), F.expr("interval 1 month"))).alias("m"))
+    months = sales.sparkSession.range(1).select(F.explode(F.sequence(F.trunc(F.lit(first), "month"), F.lit(last), F.expr("interval 1 month"))).alias("m"))
     return months.select(F.date_add("m", config.grid_day - 1).alias("prediction_moment")).where(F.col("prediction_moment").between(first, last))
 
 
