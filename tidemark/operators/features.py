@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.dates import within_before
+from tidemark.functions.dates import month_of, months_after, within_before
 from tidemark.functions.stats import ratio
 from tidemark.functions.text import is_archive_era
 
 PEER_FEATURES = ["price_momentum_60d", "sold_velocity_30d", "search_slope_60d", "social_velocity_60d"]
 KEY = ["family_id", "prediction_moment"]
+# The columns of the feature contract.
 COLUMNS = [
     *KEY, "prediction_year", "label", "price_momentum_60d", "sold_velocity_30d", "spread_at_cutoff", "rare_tier_premium", "search_slope_60d", "search_accel",
     "social_velocity_60d", *(f"{c}_peer_z" for c in PEER_FEATURES), "peer_group_size", "celebrity_event_count_90d", "celebrity_recency_days",
@@ -29,8 +30,8 @@ def _age(day: str, low: int, high: int):
 
 
 def sales_features(labels: DataFrame, sales: DataFrame) -> DataFrame:
-    """Medians of the trailing bands, lower of the middle two, from one range join on the family."""
-    j = labels.select(*KEY).join(sales, "family_id").where(within_before("sold_date", "prediction_moment", 120))
+    """Medians of the trailing bands, lower of the middle two, from one join on family and month."""
+    j = labels.select(*KEY, month_of("prediction_moment")).join(months_after(sales, "sold_date", 120), ["family_id", "month"]).where(within_before("sold_date", "prediction_moment", 120))
     mid = lambda cond: F.percentile_approx(F.when(cond, F.col("sold_price_usd")), 0.5)
     return j.groupBy(*KEY).agg(
         mid(_age("sold_date", 0, 30)).alias("median_recent"), mid(_age("sold_date", 30, 90)).alias("median_prior"), mid(_age("sold_date", 0, 90)).alias("median_90d"),
@@ -39,7 +40,7 @@ def sales_features(labels: DataFrame, sales: DataFrame) -> DataFrame:
 
 
 def attention_features(labels: DataFrame, attention: DataFrame) -> DataFrame:
-    j = labels.select(*KEY).join(attention, "family_id").where(within_before("week_date", "prediction_moment", 90))
+    j = labels.select(*KEY, month_of("prediction_moment")).join(months_after(attention, "week_date", 90), ["family_id", "month"]).where(within_before("week_date", "prediction_moment", 90))
     mean = lambda c, lo, hi: F.avg(F.when(_age("week_date", lo, hi), F.col(c)))
     return j.groupBy(*KEY).agg(
         mean("search_interest", 0, 30).alias("interest_0_30"), mean("search_interest", 30, 60).alias("interest_30_60"), mean("search_interest", 60, 90).alias("interest_60_90"),
@@ -50,18 +51,24 @@ def attention_features(labels: DataFrame, attention: DataFrame) -> DataFrame:
 def celebrity_signal(labels: DataFrame, families: DataFrame, events: DataFrame | None) -> DataFrame:
     """Count and latest date of the events of the last 90 days that name the family, or its brand alone.
 
-    The two cases exclude each other, so the disjunction is a union of two equi-joins. Brand-wide events
-    are counted by day before the join, so a hot brand meets days, not events.
+    The two cases exclude each other, so the disjunction is a union of two equi-joins. Events are counted by
+    day before the join; the brand's days are summed once for each of its moments, not for each family.
     """
     base = labels.select(*KEY)
     if events is None:
         return base.limit(0).withColumns({"celebrity_event_count_90d": F.lit(0).cast("long"), "max_event_date_used": F.lit(None).cast("date")})
     e = events.withColumn("family_id", F.when(F.col("family_id") != "NaN", F.col("family_id")))
     days = e.groupBy("family_id", "brand", "event_date").agg(F.count("*").alias("n")).where(F.col("event_date").isNotNull())
-    own = base.join(days.where("family_id is not null").select("family_id", "event_date", "n"), "family_id")
-    wide = base.join(families.select("family_id", "brand"), "family_id").join(days.where("family_id is null").select("brand", "event_date", "n"), "brand").drop("brand")
-    hit = own.select(*KEY, "event_date", "n").unionByName(wide.select(*KEY, "event_date", "n")).where(within_before("event_date", "prediction_moment", 90))
-    return hit.groupBy(*KEY).agg(F.sum("n").alias("celebrity_event_count_90d"), F.max("event_date").alias("max_event_date_used"))
+
+    def recent(moments: DataFrame, days: DataFrame, key: str) -> DataFrame:
+        j = moments.withColumn("month", month_of("prediction_moment")).join(months_after(days.select(key, "event_date", "n"), "event_date", 90), [key, "month"])
+        return j.where(within_before("event_date", "prediction_moment", 90)).groupBy(key, "prediction_moment").agg(F.sum("n").alias("n"), F.max("event_date").alias("last"))
+
+    own = recent(base.distinct(), days.where("family_id is not null"), "family_id")
+    branded = base.distinct().join(families.select("family_id", "brand"), "family_id")
+    wide = branded.join(recent(branded.select("brand", "prediction_moment").distinct(), days.where("family_id is null"), "brand"), ["brand", "prediction_moment"])
+    hit = own.select(*KEY, "n", "last").unionByName(wide.select(*KEY, "n", "last"))
+    return hit.groupBy(*KEY).agg(F.sum("n").alias("celebrity_event_count_90d"), F.max("last").alias("max_event_date_used"))
 
 
 def features(labels: DataFrame, sales: DataFrame, attention: DataFrame, families: DataFrame, events: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import BacktestConfig, PricingConfig
-from tidemark.functions.dates import within_before
+from tidemark.functions.dates import month_of, months_after, within_before
 from tidemark.functions.stats import rounded
 
 
@@ -18,11 +18,11 @@ def condition_factor(grade: str, config: PricingConfig = PricingConfig()) -> Col
 def worth(asks: DataFrame, sales: DataFrame, config: PricingConfig = PricingConfig(), tier: str | None = None, condition: bool = False) -> DataFrame:
     """(family_id, as_of, n_comps, p25, median, p75) for the asked (family_id, as_of) with enough comparable sales.
 
-    One range join on the family; days are asked once however many trades want them.
+    One join on family and month; days are asked once however many trades want them.
     """
     comps = sales if tier is None else sales.where(F.col("colorway_tier") == tier)
     price = F.col("price_cents") / condition_factor("condition_ordinal", config) if condition else F.col("price_cents").cast("double")
-    j = asks.select("family_id", "as_of").distinct().join(comps.withColumn("p", price), "family_id").where(within_before("sold_date", "as_of", config.window_days))
+    j = asks.select("family_id", "as_of", month_of("as_of")).distinct().join(months_after(comps.withColumn("p", price), "sold_date", config.window_days), ["family_id", "month"]).where(within_before("sold_date", "as_of", config.window_days))
     got = j.groupBy("family_id", "as_of").agg(F.count("*").alias("n_comps"), F.percentile("p", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).where(F.col("n_comps") >= config.min_comps)
     return got.select("family_id", "as_of", "n_comps", *(rounded(F.get("q", F.lit(i)) / 100, 4).alias(n) for i, n in enumerate(("p25", "median", "p75"))))
 

@@ -9,6 +9,7 @@ from tidemark.functions.stats import rounded
 from tidemark.operators import features as feat
 from tidemark.operators import labels as lab
 from tidemark.operators import metrics, ml, pricing
+from tidemark.operators.graph import stored
 from tidemark.plans.oracle import CTE, r, with_
 from tidemark.sources import testdata as src
 
@@ -20,18 +21,13 @@ def _labels(s, d):
 
 
 def _cells(s, d):
-    """Cells of the feature queries that have a SQL twin: every family at the twins' five moments a year apart."""
-    days = src.values(s, [("1996-06-01",), ("1997-06-01",), ("1998-06-01",), ("1999-06-01",), ("2000-06-01",)], "m").select(F.col("m").cast("date").alias("prediction_moment"))
-    return src.families(s, d).select("family_id", (F.col("collab_flag")).alias("label")).join(F.broadcast(days), F.lit(True))
+    """Every labelled (family, moment) with its label."""
+    return _labels(s, d).select("family_id", "prediction_moment", "label")
 
 
-def _features(s, d, events=True):
-    return feat.features(_cells(s, d), src.sales(s, d), src.attention(s, d), src.families(s, d), src.celebrity_events(s, d) if events else None)
-
-
-def _labelled_features(s, d):
-    """Features of every labelled (family, moment) with its label, as the classifier needs them."""
-    return feat.features(_labels(s, d), src.sales(s, d), src.attention(s, d), src.families(s, d), src.celebrity_events(s, d))
+def _features(s, d):
+    """The feature contract over all labelled cells; these are stored, since every group of features joins them."""
+    return feat.features(stored(_cells(s, d)), src.sales(s, d), src.attention(s, d), src.families(s, d), src.celebrity_events(s, d))
 
 
 def _rounded(df, places=6):
@@ -41,7 +37,7 @@ def _rounded(df, places=6):
 
 def predictions(s, d):
     """A surrogate score from the search slope at every labelled cell; any model's scores have this shape."""
-    cells = _labels(s, d).select("family_id", "prediction_moment", "label")
+    cells = _cells(s, d)
     a = feat.attention_features(cells, src.attention(s, d))
     slope = rounded(F.when(F.col("interest_30_60") > 0, F.col("interest_0_30") / F.col("interest_30_60") - 1), 6)
     out = cells.join(a, feat.KEY, "left").withColumn("search_slope_60d", slope)
@@ -77,7 +73,7 @@ def _per_cutoff(s, d):
 
 def _gbt(s, d):
     """Scores of a boosted-tree model on the moments from 1999 on; trained on those before."""
-    rows = _labelled_features(s, d).persist()
+    rows = _features(s, d).persist()
     model = ml.train(rows.where("prediction_moment < '1999-01-01'"))
     return ml.scores(model, rows.where("prediction_moment >= '1999-01-01'"))
 
@@ -129,7 +125,7 @@ CTE.update({
     "rung": "SELECT *, CASE WHEN len(r1) >= 3 THEN 'brand' WHEN len(r2) >= 3 THEN 'brand_wide' WHEN len(r3) >= 3 THEN 'category' END AS peer_basis, CASE WHEN len(r1) >= 3 THEN r1 WHEN len(r2) >= 3 THEN r2 WHEN len(r3) >= 3 THEN r3 END AS pu FROM ladder",
     "zs": "SELECT *, (u - med) / greatest(1.4826 * mad, 0.05) AS z, exp(u) - exp(med) AS edge FROM (SELECT *, list_median(list_transform(pu, lambda x: abs(x - med))) AS mad FROM (SELECT *, list_median(pu) AS med FROM rung WHERE peer_basis IS NOT NULL))",
     "labelled": f"SELECT family_id, prediction_moment, base_cents / 100.0 AS baseline_price_usd, {r('u', 4)} AS log_uplift, {r('med', 4)} AS peer_median_log_uplift, {r('z', 3)} AS peer_z, {r('edge', 4)} AS uplift_edge, len(pu) AS n_peers, peer_basis, n_base AS n_baseline_sales, n_out AS n_outcome_sales, z >= 2.0 AND edge >= 0.15 AS label FROM zs",
-    "cells": "SELECT family_id, collab_flag AS label, CAST(m AS DATE) AS prediction_moment FROM families, (VALUES ('1996-06-01'), ('1997-06-01'), ('1998-06-01'), ('1999-06-01'), ('2000-06-01')) AS t(m)",
+    "cells": "SELECT family_id, prediction_moment, label FROM labelled",
     "sf": """SELECT family_id, prediction_moment, quantile_disc(sold_price_usd, 0.5) FILTER (WHERE sold_date > prediction_moment - 30) AS median_recent,
         quantile_disc(sold_price_usd, 0.5) FILTER (WHERE sold_date <= prediction_moment - 30 AND sold_date > prediction_moment - 90) AS median_prior, quantile_disc(sold_price_usd, 0.5) FILTER (WHERE sold_date > prediction_moment - 90) AS median_90d,
         quantile_disc(sold_price_usd, 0.5) FILTER (WHERE sold_date > prediction_moment - 90 AND colorway_tier = 'rare') AS rare_median_90d, count(*) FILTER (WHERE sold_date > prediction_moment - 90) AS n_sales_90d, max(sold_date) AS max_sales_date_used
