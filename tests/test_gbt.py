@@ -19,3 +19,21 @@ def test_gbt_rows_are_the_labelled_cells(spark, tiny, monkeypatch):
 
 def test_gbt_trees():
     assert inspect.signature(ml.train).parameters["trees"].default == 200
+
+
+def test_gbt_rows_are_gathered_in_few_partitions(spark, monkeypatch):
+    columns = [f"cast(id as double) {c}" for c in ml.NUMERIC] + [f"id % 2 = 0 {c}" for c in ml.FLAGS] + [f"'x' {c}" for c in ml.CATEGORIES] + ["id % 3 = 0 label"]
+    rows, seen = spark.range(0, 1000, 1, 16).selectExpr(*columns), []
+
+    class Seen:
+        def __init__(self, stages):
+            self.stages = stages
+
+        def fit(self, df):
+            seen.append((df.rdd.getNumPartitions(), df.count(), df.where("y = 1").count()))
+
+    monkeypatch.setattr(ml, "Pipeline", Seen)
+    ml.train(rows)
+    monkeypatch.setattr(ml, "ROWS_A_TASK", 300, raising=False)
+    ml.train(rows)
+    assert seen == [(1, 1000, 334), (4, 1000, 334)]

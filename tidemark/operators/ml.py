@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 NUMERIC = ["price_momentum_60d", "sold_velocity_30d", "spread_at_cutoff", "rare_tier_premium", "search_slope_60d", "search_accel", "social_velocity_60d", "price_momentum_60d_peer_z", "sold_velocity_30d_peer_z", "search_slope_60d_peer_z", "social_velocity_60d_peer_z", "celebrity_event_count_90d", "celebrity_recency_days"]
 FLAGS, CATEGORIES = ["collab_flag", "archive_flag"], ["brand", "category"]
+#: Training rows that a task goes through: a few hundredths of a second's work a level of a tree.
+ROWS_A_TASK = 50_000
 
 
 def matrix(rows: DataFrame) -> DataFrame:
@@ -29,7 +31,21 @@ def train(rows: DataFrame, trees: int = 200, depth: int = 4, rate: float = 0.05,
         VectorAssembler(inputCols=filled + [f"{c}_missing" for c in NUMERIC] + FLAGS + [f"{c}_i" for c in CATEGORIES], outputCol="x", handleInvalid="keep"),
         GBTClassifier(featuresCol="x", labelCol="y", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, maxBins=256),
     ]
-    return Pipeline(stages=stages).fit(matrix(rows))
+    kept = gathered(matrix(rows))
+    try:
+        return Pipeline(stages=stages).fit(kept)
+    finally:
+        kept.unpersist()
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """rows with what the model reads, kept, in as few partitions as hold ROWS_A_TASK each.
+
+    Every level of every tree is a job of its own over all rows, about a thousand in all, so what counts is a
+    task's fixed cost. All rows stay.
+    """
+    kept = rows.select(*NUMERIC, *FLAGS, *CATEGORIES, *(f"{c}_missing" for c in NUMERIC), "y", "weight")
+    return kept.repartition(kept.count() // ROWS_A_TASK + 1).persist()
 
 
 def scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
