@@ -1,6 +1,7 @@
 """Held-out accuracy of the fitted operators, and recall of the vector search."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -271,3 +272,17 @@ def test_recall_of_query(spark, tiny):
     for r in queries.op9_nearest(spark, tiny).collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
+
+
+def test_quality_fit_holds_one_copy_of_its_features():
+    draw = np.random.default_rng(2)
+    x = draw.random((2000, quality.DIMS), dtype=np.float32)
+    ids, y = draw.permutation(2000), (x[:, :9].sum(1) > 4.5).astype(int)
+    rows = pa.table({"id": ids, "y": pa.array(y, pa.int32()), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+    grades, sorted_ = quality.matrix(rows)
+    assert np.array_equal(sorted_, x[np.argsort(ids)]) and np.array_equal(grades, y[np.argsort(ids)])
+    tracemalloc.start()
+    quality.fit(x, y, steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes / 2

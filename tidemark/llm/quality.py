@@ -27,6 +27,7 @@ from tidemark.llm.cluster import ship
 from tidemark.llm.labelled import sample
 
 SAMPLE_PER_GRADE = 2500
+BLOCK_ROWS = 256
 GRAM_BUCKETS = 1024
 SHAPE_BUCKETS = 512
 DIMS = GRAM_BUCKETS + SHAPE_BUCKETS
@@ -85,20 +86,21 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, steps: int = 250) -
     share = np.bincount(y, minlength=grades)
     weight = (n / (np.maximum(share, 1) * max((share > 0).sum(), 1)))[y] / n
     mean = x.mean(0)
-    x = x - mean
     w, cut = np.zeros(x.shape[1]), np.linspace(-1, 1, grades - 1) if grades > 2 else np.zeros(1)
     vw, vc = w.copy(), cut.copy()
     rate = 4.0
+    # Centred and widened block by block: the driver never holds a second copy of x.
+    blocks = [slice(i, i + BLOCK_ROWS) for i in range(0, n, BLOCK_ROWS)]
     for step in range(steps):
         momentum = step / (step + 3)
         pw, pc = w + momentum * vw, cut + momentum * vc
-        z = x @ pw
+        z = np.concatenate([(x[b] - mean) @ pw for b in blocks])
         edges = np.concatenate([[-np.inf], pc, [np.inf]])
         up, low = (1 / (1 + np.exp(-np.clip(e - z, -40, 40))) for e in (edges[y + 1], edges[y]))
         p = np.maximum(up - low, 1e-9)
         du, dl = up * (1 - up), low * (1 - low)
         gz = weight * (du - dl) / p  # of the loss, by the score
-        gw = x.T @ gz + penalty * pw
+        gw = sum((x[b] - mean).T @ gz[b] for b in blocks) + penalty * pw
         gc = np.zeros(grades - 1)
         np.add.at(gc, np.minimum(y, grades - 2), np.where(y < grades - 1, -weight * du / p, 0))
         np.add.at(gc, np.maximum(y - 1, 0), np.where(y > 0, weight * dl / p, 0))
@@ -107,6 +109,19 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, steps: int = 250) -
     return Model(w.astype(np.float64), cut + float(mean @ w), names)
 
 
+def matrix(got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Grades and features (id, y, x binary) by id, copied once and straight into place."""
+    order = np.argsort(np.asarray(got["id"], dtype=np.int64), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    x, done = np.empty((len(order), DIMS), np.float32), 0
+    for chunk in got["x"].chunks:
+        for row in chunk:
+            x[place[done]] = np.frombuffer(row.as_buffer(), np.float32)
+            done += 1
+    return np.asarray(got["y"], dtype=np.int64)[order], x
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_grade: int = SAMPLE_PER_GRADE) -> Model | None:
     """Fit on the bounded sample; None without labelled documents of two grades. Features are made on the executors."""
     ship(docs.sparkSession)
@@ -117,12 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
                 rows = [r.tobytes() for r in features(*ta.flat(piece.column("text")))]
                 yield pa.RecordBatch.from_arrays([piece.column("id").cast(pa.int64()), piece.column("y"), pa.array(rows, pa.binary())], names=["id", "y", "x"])
 
-    got = sample(docs, labels, label, per_grade, id_col, text_col).mapInArrow(run, "id long, y int, x binary").toArrow().sort_by("id")
-    y = np.asarray(got["y"], dtype=np.int64)
-    if len(np.unique(y)) < 2:
-        return None
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(len(y), DIMS)
-    return fit(x, y)
+    y, x = matrix(sample(docs, labels, label, per_grade, id_col, text_col).mapInArrow(run, "id long, y int, x binary").toArrow())
+    return fit(x, y) if len(np.unique(y)) > 1 else None
 
 
 def grade(df: DataFrame, model: Model | None, text_col: str = "text", wanted: int = 1, least: float = 0.25) -> DataFrame:
