@@ -11,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, license_scan, near_dedup, queries, secret_scan, substring_dedup
+from tidemark.llm.cluster import Scratch
+from tidemark.llm.components import components
 
 PATH = queries.rank_path()
 
@@ -307,3 +309,28 @@ def test_contamination_at_the_threshold():
     hits = part.matches(*decontaminate._words(pa.array(texts)), 0.8, decontaminate.RADIUS)
     assert [(d, i) for d, i, *_ in hits] == [(d, d) for d in range(600)]
     assert all(0.8 <= sim < 0.81 for *_, sim in hits)
+
+
+def least_of(edges):
+    """The least node that each node of the edges reaches, by plain merging."""
+    of = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in of:
+        for u, v in edges:
+            if u != v:
+                of[u] = of[v] = min(of[u], of[v])
+    return of
+
+
+@pytest.mark.parametrize("part", [None, 7])
+def test_components_of_one_part_need_no_exchange(spark, part):
+    """Chains, stars, loops, repeated edges and negative ids; in one part no round of stars, in many the same result."""
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(-5, 2**62), (7, 7), (300, 300), (1, 0)]
+    edges += [(a, b) for a, b in ((rng.randrange(400, 460), rng.randrange(400, 460)) for _ in range(45))]
+    rng.shuffle(edges)
+    scratch = Scratch(spark, "components-test")
+    given = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    got = components(given, scratch, "cc", part)
+    assert {r["node"]: r["component"] for r in got.collect()} == least_of(edges) and got.count() == len(least_of(edges))
+    assert part or "cc-0" not in scratch.paths and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert components(given.limit(0), scratch, "none", part).count() == 0

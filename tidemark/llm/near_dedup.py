@@ -164,6 +164,11 @@ def _place(rows: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
     return rows.join(known, node, "left").withColumn(name, F.coalesce("found", node)).drop("found")
 
 
+def _joined(comp: DataFrame) -> DataFrame:
+    """The components as edges (u, v): they stand for all links that made them."""
+    return comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
 def _prefix_groups(sets: DataFrame, percent: int) -> DataFrame:
     """(key, rep, n, at): the shingles in each set's prefix, rarest first among these sets.
 
@@ -216,8 +221,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Full sets are the bulk of what is moved: they are laid out by id once.
     texts = df.select(F.col(id_col).cast("long").alias("id"), text_col)
     sets = scratch.save_bucketed(_sets(with_ids(texts, met.select(F.col("rep").alias("id")).distinct(), "id"), text_col, k), "sets", "id")
-    links = scratch.save(_verified(stars, sets, percent, True), "links-0")
-    comp = scratch.save(components(links, scratch, "cc-0"), "comp-0")
+    comp = scratch.save(components(_verified(stars, sets, percent, True), scratch, "cc-0"), "comp-0")
 
     # Classes in buckets that are still split go on with an exact prefix filter. Every pivot meets itself.
     placed = _place(met, comp, "rep", "c")
@@ -226,16 +230,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = _prefix_groups(sets.join(open_, F.col("id") == F.col("rep"), "left_semi"), percent)
     groups = scratch.save(_place(groups, comp, "rep", "c"), "groups")
     starred = _stars(groups, _apart(groups), percent)
-    links = scratch.save(links.unionByName(_verified(starred, sets, percent, True)), "links-1")
-    comp = scratch.save(components(links, scratch, "cc-1"), "comp-1")
+    comp = scratch.save(components(_joined(comp).unionByName(_verified(starred, sets, percent, True)), scratch, "cc-1"), "comp-1")
     left = _place(groups.drop("c"), comp, "rep", "c")
     apart = _apart(left).select("key", _fan("members").alias("fan"))
     left = scratch.save(left.join(apart, "key").join(sets.select(F.col("id").alias("rep"), "bits"), "rep"), "apart")
     right = left.select("key", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("at").alias("mat"), F.col("bits").alias("mbits"), F.col("c").alias("d"))
     pairs = left.join(right, "key").where((F.col("rep") > F.col("pivot")) & (F.col("c") != F.col("d")) & _may_link(percent))
     pairs = pairs.groupBy(F.col("pivot").alias("u"), F.col("rep").alias("v")).agg(F.max("fan").alias("fan"))
-    links = scratch.save(links.unionByName(_verified(pairs, sets, percent, False)), "links-2")
-    comp = scratch.save(components(links, scratch, "cc-2"), "comp-2")
+    comp = scratch.save(components(_joined(comp).unionByName(_verified(pairs, sets, percent, False)), scratch, "cc-2"), "comp-2")
 
     # A class's component is named by its least document; only classes with copies or links need the join back.
     named = classes.select("s1", "s2", "rep", "copies").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
