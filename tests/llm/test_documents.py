@@ -181,6 +181,20 @@ def test_repeated_substrings(spark, monkeypatch, hot):
     assert got == brute_repeats(texts, 400)
 
 
+def test_equal_segments_are_not_sorted(spark, monkeypatch):
+    """Groups that hold one segment in several copies are done; only groups of different segments get their bytes."""
+    fetched, fetch = [], substring_dedup._fetch
+    monkeypatch.setattr(substring_dedup, "_fetch", lambda df, wanted, length: fetched.extend(wanted.collect()) or fetch(df, wanted, length))
+    rng = random.Random(8)
+    rand = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    copied, passage = rand(2500), rand(900)
+    texts = [copied, copied, copied, rand(300) + passage + rand(70), passage + rand(500), rand(800)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substring_dedup.remove_repeats(docs(spark, texts)).collect()}
+    assert got == brute_repeats(texts, 400)
+    kinds = Counter(r["mh"] for r in fetched)
+    assert fetched and min(kinds.values()) > 1 and {r["at"]["id"] for r in fetched} == {3, 4}
+
+
 def test_repeats_of_nothing(spark):
     assert substring_dedup.remove_repeats(docs(spark, ["x"]).limit(0)).count() == 0
 
