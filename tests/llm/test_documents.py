@@ -87,6 +87,17 @@ def test_hot_group_and_threshold(spark, monkeypatch):
     assert got == want and want[121][1] == 120 and len({want[i][1] for i in range(60)}) == 1
 
 
+def test_near_duplicates_plan_few_exchanges_at_once(spark, monkeypatch):
+    """What the joins read several times is stored: the driver keeps a thread and a plan for every exchange of a job."""
+    planned, save = {}, Scratch.save
+    def kept(self, df, name):
+        planned[name] = df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+        return save(self, df, name)
+    monkeypatch.setattr(Scratch, "save", kept)
+    near_dedup.near_duplicates(docs(spark, ["a b c d e f g", "a b c d e f g h", "a b c d e f g"]))
+    assert max(planned.values()) <= 16, planned
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
 

@@ -110,30 +110,32 @@ def _parities_allow(percent: int) -> Column:
     return differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
 
 
-def _beside(edges: DataFrame, rows: DataFrame, node: str, other: str) -> DataFrame:
-    """edges (u, v, fan) with the columns of rows, which has one row per `node`.
+def _beside(edges: DataFrame, rows: DataFrame, node: str, other: str, stored: DataFrame) -> DataFrame:
+    """edges (u, v, fan) with the columns of rows, which has one row per `node`; stored holds these edges as a table.
 
     A node's row is copied fan times and its edges are dealt over the copies, so one node's edges never
-    land in one task.
+    land in one task. The copies are counted on the table: a plan that made the edges would be in the plan twice.
     """
-    copies = rows.join(edges.groupBy(node).agg(F.max("fan").alias("copies")), node)
+    copies = rows.join(stored.groupBy(node).agg(F.max("fan").alias("copies")), node)
     copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     return edges.withColumn("salt", F.pmod(F.xxhash64(other), F.col("fan")).cast("int")).join(copies, [node, "salt"]).drop("salt")
 
 
-def _verified(edges: DataFrame, sets: DataFrame, percent: int, stars: bool) -> DataFrame:
+def _verified(edges: DataFrame, sets: DataFrame, percent: int, stars: bool, scratch: Scratch, name: str) -> DataFrame:
     """The edges (u, v, fan) whose full sets are similar enough, as (u, v). In stars only u can have many edges.
 
     Sizes and parity bits rule out most false candidates exactly; only the rest carry full sets through
-    a shuffle.
+    a shuffle. Either kind is stored, since the joins read it several times.
     """
+    edges = scratch.save(edges.select("u", "v", "fan"), f"{name}-met")
     mine = sets.select(F.col("id").alias("u"), F.size("shingles").alias("n"), "bits")
     hers = sets.select(F.col("id").alias("v"), F.size("shingles").alias("m"), F.col("bits").alias("mbits"))
-    join_v = (lambda e, rows: e.join(rows, "v")) if stars else (lambda e, rows: _beside(e, rows, "v", "u"))
-    close = join_v(_beside(edges.select("u", "v", "fan"), mine, "u", "v"), hers).where(_fits(percent) & _parities_allow(percent)).select("u", "v", "fan")
+    join_v = (lambda e, rows, stored: e.join(rows, "v")) if stars else (lambda e, rows, stored: _beside(e, rows, "v", "u", stored))
+    close = join_v(_beside(edges, mine, "u", "v", edges), hers, edges).where(_fits(percent) & _parities_allow(percent))
+    close = scratch.save(close.select("u", "v", "fan"), f"{name}-close")
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("y"))
-    return join_v(_beside(close, left, "u", "v"), right).where(_similar(percent)).select("u", "v")
+    return join_v(_beside(close, left, "u", "v", close), right, close).where(_similar(percent)).select("u", "v")
 
 
 def _fits(percent: int) -> Column:
@@ -221,23 +223,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Full sets are the bulk of what is moved: they are laid out by id once.
     texts = df.select(F.col(id_col).cast("long").alias("id"), text_col)
     sets = scratch.save_bucketed(_sets(with_ids(texts, met.select(F.col("rep").alias("id")).distinct(), "id"), text_col, k), "sets", "id")
-    comp = scratch.save(components(_verified(stars, sets, percent, True), scratch, "cc-0"), "comp-0")
+    comp = scratch.save(components(_verified(stars, sets, percent, True, scratch, "stars"), scratch, "cc-0"), "comp-0")
 
     # Classes in buckets that are still split go on with an exact prefix filter. Every pivot meets itself.
     placed = _place(met, comp, "rep", "c")
     split = placed.groupBy("pivot").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("pivot")
-    open_ = met.join(split, "pivot", "left_semi").select("rep").distinct()
+    open_ = scratch.save(met.join(split, "pivot", "left_semi").select("rep").distinct(), "open")
     groups = _prefix_groups(sets.join(open_, F.col("id") == F.col("rep"), "left_semi"), percent)
     groups = scratch.save(_place(groups, comp, "rep", "c"), "groups")
     starred = _stars(groups, _apart(groups), percent)
-    comp = scratch.save(components(_joined(comp).unionByName(_verified(starred, sets, percent, True)), scratch, "cc-1"), "comp-1")
+    comp = scratch.save(components(_joined(comp).unionByName(_verified(starred, sets, percent, True, scratch, "starred")), scratch, "cc-1"), "comp-1")
     left = _place(groups.drop("c"), comp, "rep", "c")
     apart = _apart(left).select("key", _fan("members").alias("fan"))
     left = scratch.save(left.join(apart, "key").join(sets.select(F.col("id").alias("rep"), "bits"), "rep"), "apart")
     right = left.select("key", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("at").alias("mat"), F.col("bits").alias("mbits"), F.col("c").alias("d"))
     pairs = left.join(right, "key").where((F.col("rep") > F.col("pivot")) & (F.col("c") != F.col("d")) & _may_link(percent))
     pairs = pairs.groupBy(F.col("pivot").alias("u"), F.col("rep").alias("v")).agg(F.max("fan").alias("fan"))
-    comp = scratch.save(components(_joined(comp).unionByName(_verified(pairs, sets, percent, False)), scratch, "cc-2"), "comp-2")
+    comp = scratch.save(components(_joined(comp).unionByName(_verified(pairs, sets, percent, False, scratch, "pairs")), scratch, "cc-2"), "comp-2")
 
     # A class's component is named by its least document; only classes with copies or links need the join back.
     named = classes.select("s1", "s2", "rep", "copies").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
