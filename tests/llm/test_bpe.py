@@ -37,6 +37,17 @@ def test_same_ids(library):
         assert [x.decode() for x in ta.strings(data, offsets)] == part
 
 
+def test_cache_grows_with_the_slices_it_has_met(library):
+    """A worker keeps its cache for life, so a few words take no room for a million; growing loses none."""
+    vocab = bpe.Vocabulary(bpe.read_ranks(PATH))
+    encode = lambda t: vocab.encode(*ta.flat(pa.array([t])))[0].tolist()
+    assert encode("a few words") == library.encode_ordinary("a few words")
+    assert vocab.cache.keys.nbytes + vocab.cache.values.nbytes < 1 << 20
+    many = [" ".join(f"w{i} x{i * 7919 % 100003}" for i in range(k, k + 3000)) for k in range(0, 12000, 3000)]
+    assert [encode(t) for t in many + many[:1]] == [library.encode_ordinary(t) for t in many + many[:1]]
+    assert vocab.cache.capacity >= vocab.count == (vocab.cache.keys != 0).sum()
+
+
 def test_long_and_short_merging_agree():
     vocab = bpe.Vocabulary(bpe.read_ranks(PATH))
     word = ("theandofing" * 40).encode()

@@ -168,7 +168,7 @@ class Vocabulary:
         self._reset()
 
     def _reset(self) -> None:
-        self.cache = HashTable(self.cache_words)
+        self.cache = HashTable(min(1 << 12, self.cache_words))
         self.pool, self.used, self.count = np.zeros(1 << 16, np.int32), 0, 0
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
@@ -291,7 +291,8 @@ class Vocabulary:
             if self.count + len(new) > self.cache_words:
                 self._reset()
                 new, at = np.unique(hashes, return_index=True)
-                self.cache = HashTable(max(self.cache_words, len(new)))
+            if (size := self.count + len(new)) > self.cache.capacity:
+                self.cache = self.cache.grown(2 * size)
             self._learn(data, start[at], end[at], new)
             index = self.cache.lookup(hashes)
         size = self.size[index].astype(np.int64)
@@ -337,7 +338,7 @@ def encode(df: DataFrame, rank_path: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(ranks.value)
         for batch in batches:
-            for piece in ta.pieces(batch, text_col):
+            for piece in ta.pieces(batch, text_col, limit=1 << 20):
                 ids, bounds = vocab.encode(*ta.flat(piece.column(text_col)))
                 size = vocab.token_len[ids]
                 start = np.concatenate([[0], np.cumsum(size)])
@@ -376,7 +377,7 @@ def round_trip_digests(df: DataFrame, rank_path: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(ranks.value)
         for batch in batches:
-            for piece in ta.pieces(batch, text_col):
+            for piece in ta.pieces(batch, text_col, limit=1 << 20):
                 ids, bounds = vocab.encode(*ta.flat(piece.column(text_col)))
                 data, at = vocab.decode(ids, bounds)
                 code = ids.astype("<u4").view(np.uint8)

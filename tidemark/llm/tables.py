@@ -11,6 +11,7 @@ class HashTable:
     """Non-zero 64-bit keys to non-negative integers, at most half full."""
 
     def __init__(self, capacity: int):
+        self.capacity = capacity
         bits = max(4, int(2 * capacity).bit_length())
         self.shift, self.mask = U64(64 - bits), (1 << bits) - 1
         self.keys = np.zeros(1 << bits, U64)
@@ -44,3 +45,9 @@ class HashTable:
             self.values[s[won]] = values[rest[won]]
             rest = rest[~won]
             slot[rest] = (slot[rest] + 1) & self.mask
+
+    def grown(self, capacity: int) -> HashTable:
+        """The same keys and values in a table for `capacity` keys."""
+        out, full = HashTable(capacity), np.flatnonzero(self.keys)
+        out.insert(self.keys[full], self.values[full])
+        return out
