@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, license_scan, near_dedup, queries, secret_scan, substring_dedup
-from tidemark.llm.cluster import Scratch
+from tidemark.llm.cluster import BATCH_BYTES, Scratch, ship
 from tidemark.llm.components import components
 
 PATH = queries.rank_path()
@@ -336,6 +336,13 @@ def test_contamination_at_the_threshold():
     assert all(0.8 <= sim < 0.81 for *_, sim in hits)
 
 
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    ship(spark)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    rows = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text")).mapInArrow(sizes, "n long").collect()
+    assert sum(r["n"] for r in rows) >= 40_000_000 and max(r["n"] for r in rows) < 2 * BATCH_BYTES
+
+
 def least_of(edges):
     """The least node that each node of the edges reaches, by plain merging."""
     of = {x: x for e in edges for x in e if e[0] != e[1]}
