@@ -206,6 +206,21 @@ def test_equal_segments_are_not_sorted(spark, monkeypatch):
     assert fetched and min(kinds.values()) > 1 and {r["at"]["id"] for r in fetched} == {3, 4}
 
 
+def test_groups_stay_whole_after_a_join_on_their_key(spark):
+    """A join planned by shuffle and then broadcast has its shuffle read by mappers, here a group's segments in two of them."""
+    rng = random.Random(21)
+    body = lambda: "".join(rng.choice("abcdefgh ") for _ in range(450)).encode()
+    passages = [body() for _ in range(40)]
+    segs = spark.createDataFrame([(g, ch, 1, b"%d" % ch + p) for ch in (0, 1) for g, p in enumerate(passages)], "mh long, ch long, copies long, body binary")
+    hot = spark.range(3_000_000).where("id % 1000000 = 999999").select(F.col("id").alias("mh"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = substring_dedup._repeats(segs.join(hot, "mh", "left_anti"), 400, int(spark.conf.get("spark.sql.shuffle.partitions"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, found)) == [(g, ch, 1, 52) for g in range(40) for ch in (0, 1)]
+
+
 def test_repeats_of_nothing(spark):
     assert substring_dedup.remove_repeats(docs(spark, ["x"]).limit(0)).count() == 0
 
